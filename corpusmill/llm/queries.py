@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.llm.simhash_dedup import near_duplicates
 from corpusmill.llm.substring_dedup import substring_dedup
 
 
@@ -14,8 +15,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, max_bits=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 #: Where DuckDB can say the same on whole tables.
