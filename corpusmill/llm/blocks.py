@@ -17,7 +17,13 @@ ROUTED_DDL = "bucket bigint, payload binary"
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    """Differences to the record before, byte by byte of all records, compressed: sorted ids and positions shrink to little."""
+    out = []
+    for c in columns:
+        d = c.copy()
+        d[1:] -= c[:-1]
+        out.append(np.ascontiguousarray(d).view(np.uint8).reshape(len(c), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack(payloads: list[bytes], dtypes: list) -> list[np.ndarray]:
@@ -28,8 +34,10 @@ def unpack(payloads: list[bytes], dtypes: list) -> list[np.ndarray]:
         raw = reader.decompress(p)
         n, at = len(raw) // width, 0
         for out, d in zip(parts, dtypes, strict=True):
-            out.append(np.frombuffer(raw, d, n, at))
-            at += n * np.dtype(d).itemsize
+            size = np.dtype(d).itemsize
+            planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+            out.append(np.cumsum(np.ascontiguousarray(planes.T).view(d).reshape(n), dtype=d))
+            at += n * size
     return [np.concatenate(p) if p else np.zeros(0, d) for p, d in zip(parts, dtypes, strict=True)]
 
 

@@ -9,8 +9,9 @@ on the input.
    in a difference cover of the period. For any two positions there is a shift
    smaller than the period that puts both on the cover, so two equal windows
    always share an anchor at the same shift.
-2. Anchors that occur once are dropped; the others are extended to the full
-   windows around them, which get a 128-bit hash.
+2. Anchors that occur once are dropped (32 bits of their hash and the bucket tell;
+   a chance hit only adds a candidate); the others are extended to the full
+   windows around them, which get a 96-bit hash.
 3. The earliest start of each hash stays, all others mark their words.
 
 Each step combines equal hashes within a task before the shuffle, so a passage
@@ -40,7 +41,7 @@ from corpusmill.session import bucket_count
 #: (period, cover): every residue is a difference of two members.
 COVERS = ((13, (0, 1, 3, 9)), (7, (0, 1, 3)), (3, (0, 1)), (1, (0,)))
 _FLUSH = 1_000_000
-_KEY = ["<i8", "<u8", "<u4"]  # doc_id, hash of the text, document bucket
+_KEY = ["<i8", "<u4", "<u4"]  # doc_id, hash of the text, document bucket
 _ID, _TEXT, _BUCKET = "__cm_id", "__cm_text", "__cm_bucket"
 
 
@@ -59,7 +60,7 @@ def _earliest(h: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[
     first[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in h]) if len(order) else False
     lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
     later = (doc[order] != doc[lead]) | (start[order] != start[lead])
-    return order[first], order[later]
+    return np.sort(order[first]), np.sort(order[later])
 
 
 def _columns(table, *names: str) -> list:
@@ -95,7 +96,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
             h, doc, key, to, pos = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             _, at, inverse, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            yield block_batch(0, routed(((h[at] >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64), [h[at], doc[at], key[at], to[at], pos[at]]))
+            at = np.sort(at)  # by document, so that ids and positions shrink
+            yield block_batch(0, routed(((h[at] >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64), [h[at].astype(np.uint32), doc[at], key[at], to[at], pos[at]]))
             often = np.flatnonzero(counts[inverse] > 1)
             yield block_batch(1, routed(to[often].astype(np.int64), [doc[often], key[often], pos[often]]))
 
@@ -106,7 +108,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
                 h, of = rolling(w.hash, width), w.text_of()
                 pos = np.arange(len(of)) - w.first[of]
                 at = np.flatnonzero((of[: len(h)] == of[width - 1 :]) & on_cover[pos[: len(h)] % period]) if len(h) else np.zeros(0, int)
-                key = np.array([xxhash.xxh64_intdigest(t) for t in texts[a:b]], np.uint64)
+                key = np.array([xxhash.xxh32_intdigest(t) for t in texts[a:b]], np.uint32)
                 held.append([h[at], ids[a:b][of[at]], key[of[at]], to[a:b][of[at]].astype(np.uint32), pos[at].astype(np.uint32)])
                 if sum(len(x[0]) for x in held) > _FLUSH:
                     yield from flush()
@@ -114,14 +116,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
     def repeated(table: pa.Table) -> pa.Table:
         kind, payload = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-        h, doc, key, to, pos = unpack([p for k, p in zip(kind, payload, strict=True) if not k], ["<u8", *_KEY, "<u4"])
+        h, doc, key, to, pos = unpack([p for k, p in zip(kind, payload, strict=True) if not k], ["<u4", *_KEY, "<u4"])
         _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
         at = np.flatnonzero(counts[inverse] > 1)
         passed = [(b, p) for k, b, p in zip(kind, table.column("bucket").to_pylist(), payload, strict=True) if k]
         return routed_table([*passed, *routed(to[at].astype(np.int64), [doc[at], key[at], pos[at]])])
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, key, pos = unpack(right.column("payload").to_pylist(), ["<i8", "<u8", "<u4"])
+        doc, key, pos = unpack(right.column("payload").to_pylist(), ["<i8", "<u4", "<u4"])
         out = []
         if len(doc) and left.num_rows:
             order = np.lexsort((pos, key, doc))
@@ -130,7 +132,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
             at = {(int(doc[a]), int(key[a])): (a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)}
             ids, to = _ids(left.column(_ID)), int(left.column(_BUCKET)[0].as_py())
             texts, held = left.column(_TEXT).to_pylist(), []
-            keys = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
+            keys = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.uint32)
             own = [i for i in range(len(texts)) if (int(ids[i]), int(keys[i])) in at]
             for a, b in slices([texts[i] for i in own]):
                 part = np.array(own[a:b])
@@ -142,7 +144,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
                     np.add.at(edge, w.first[j] + q + 1, -1)
                 of = w.text_of()
                 i = np.flatnonzero((np.cumsum(edge)[: max(0, n - window + 1)] > 0) & (of[: max(0, n - window + 1)] == of[window - 1 :][: max(0, n - window + 1)]))
-                held.append([rolling(w.hash, window, 2)[i], rolling(w.hash, window, 5)[i], ids[part][of[i]], keys[part][of[i]], (i - w.first[of[i]]).astype(np.uint32)])
+                held.append([rolling(w.hash, window, 2)[i], (rolling(w.hash, window, 5)[i] >> np.uint64(32)).astype(np.uint32), ids[part][of[i]], keys[part][of[i]], (i - w.first[of[i]]).astype(np.uint32)])
             h1, h2, d, k, s = (np.concatenate(c) for c in zip(*held, strict=True))
             first, later = _earliest([h1, h2], d, s)
             here = np.full(len(d), to, np.uint32)
@@ -151,7 +153,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
     def later(table: pa.Table) -> pa.Table:
         kind, payload = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-        h1, h2, d, k, to, s = unpack([p for i, p in zip(kind, payload, strict=True) if not i], ["<u8", "<u8", *_KEY, "<u4"])
+        h1, h2, d, k, to, s = unpack([p for i, p in zip(kind, payload, strict=True) if not i], ["<u8", "<u4", *_KEY, "<u4"])
         _, at = _earliest([h1, h2], d, s)
         passed = [(b, p) for i, b, p in zip(kind, table.column("bucket").to_pylist(), payload, strict=True) if i]
         return routed_table([*passed, *routed(to[at].astype(np.int64), [d[at], k[at], s[at]])])
@@ -159,7 +161,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     names = [c for c in docs.columns if c != text_col]
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, key, start = unpack(right.column("payload").to_pylist(), ["<i8", "<u8", "<u4"])
+        doc, key, start = unpack(right.column("payload").to_pylist(), ["<i8", "<u4", "<u4"])
         order = np.lexsort((start, key, doc))
         doc, key, start = doc[order], key[order], start[order]
         cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]), [True]])) if len(doc) else np.zeros(1, int)
@@ -167,7 +169,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         ids, texts = _ids(left.column(_ID)), left.column(_TEXT).to_pylist()
         kept, n_words, n_removed, digest = [], [], [], []
         for i, text in zip(ids.tolist(), texts, strict=True):
-            span = at.get((i, xxhash.xxh64_intdigest(text))) if at else None
+            span = at.get((i, xxhash.xxh32_intdigest(text))) if at else None
             if span is None:
                 own = text.split()
                 kept.append(text)
