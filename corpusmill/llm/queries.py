@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.llm.line_rules import line_rules
 from corpusmill.llm.simhash_dedup import near_duplicates
 from corpusmill.llm.substring_dedup import substring_dedup
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return line_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -20,12 +26,30 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_frequency": op3_line_frequency,
     "op4_substring_dedup": op4_substring_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 #: Where DuckDB can say the same on whole tables.
 ORACLES: dict[str, str] = {
+    "op3_line_frequency": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+raw AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS l FROM d),
+lines AS (SELECT doc_id, host, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+  CAST('0x' || substr(md5(host || chr(10) || lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')))), 1, 15) AS BIGINT) AS h FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines GROUP BY doc_id),
+one AS (SELECT DISTINCT doc_id, h FROM lines),
+two AS (SELECT doc_id, h, min(h) OVER (PARTITION BY doc_id) AS a, nth_value(h, 2) OVER (PARTITION BY doc_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b FROM one),
+often AS (SELECT h FROM two GROUP BY h HAVING count(DISTINCT CASE WHEN h = a THEN coalesce(b, -1) ELSE a END) > 100),
+gone AS (SELECT doc_id, sum(n) AS n FROM lines WHERE h IN (SELECT h FROM often) GROUP BY doc_id),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win, (SELECT unnest(range(3)) AS j) WHERE k > 1 GROUP BY doc_id),
+b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(gone.n, 0) AS gone FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT gone > 0.5 * n_words AS kept FROM f""",
     "op4_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, s, sha256(array_to_string(w[s:s + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
