@@ -79,7 +79,6 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     """
     period, cover, width = cover_for(window)
     n_buckets = buckets or bucket_count(docs, 32 << 20)
-    n_buckets = max(n_buckets, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.withColumns({
         _ID: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
         _TEXT: F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"),
