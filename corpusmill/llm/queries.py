@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.llm.decontaminate import benchmark_matches
 from corpusmill.llm.line_rules import line_rules
+from corpusmill.llm.sentencepiece_codec import encode
 from corpusmill.llm.simhash_dedup import near_duplicates
 from corpusmill.llm.substring_dedup import substring_dedup
 
 
+def tokenizer_path(name: str) -> str:
+    """Where this machine keeps a public vocabulary file: the folder in CORPUSMILL_TOKENIZERS, else the installed package."""
+    if folder := os.environ.get("CORPUSMILL_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return line_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -21,6 +33,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return encode(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, max_bits=4)
 
@@ -28,7 +49,9 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_frequency": op3_line_frequency,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 #: Where DuckDB can say the same on whole tables.
