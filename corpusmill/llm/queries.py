@@ -12,6 +12,8 @@ from corpusmill.llm.line_rules import line_rules
 from corpusmill.llm.sentencepiece_codec import encode
 from corpusmill.llm.simhash_dedup import near_duplicates
 from corpusmill.llm.substring_dedup import substring_dedup
+from corpusmill.llm.token_store import verify, write_store
+from corpusmill.session import new_folder
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +25,12 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_path("byte_bpe_50k.json"))
+    return verify(spark, path)
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return line_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,6 +55,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_store": op2_token_store,
     "op3_line_frequency": op3_line_frequency,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
