@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.decontaminate import benchmark_matches
 from corpusmill.llm.line_rules import line_rules
+from corpusmill.llm.pu_toxicity import toxicity
 from corpusmill.llm.sentencepiece_codec import encode
 from corpusmill.llm.simhash_dedup import near_duplicates
 from corpusmill.llm.substring_dedup import substring_dedup
@@ -25,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens")
     write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_path("byte_bpe_50k.json"))
@@ -55,6 +60,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pu_toxicity": op1_pu_toxicity,
     "op2_token_store": op2_token_store,
     "op3_line_frequency": op3_line_frequency,
     "op4_substring_dedup": op4_substring_dedup,
