@@ -11,8 +11,10 @@ from corpusmill.llm.decontaminate import benchmark_matches
 from corpusmill.llm.line_rules import line_rules
 from corpusmill.llm.pu_toxicity import toxicity
 from corpusmill.llm.sentencepiece_codec import encode
+from corpusmill.llm.shard_lookup import assign_shards
 from corpusmill.llm.simhash_dedup import near_duplicates
 from corpusmill.llm.substring_dedup import substring_dedup
+from corpusmill.llm.token_counts import section_tokens
 from corpusmill.llm.token_store import verify, write_store
 from corpusmill.session import new_folder
 
@@ -55,6 +57,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op7_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return assign_shards(docs, [f"shard-{i:05d}" for i in range(256)], ["doc_id"])
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, max_bits=4)
 
@@ -65,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_frequency": op3_line_frequency,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_token_counts": op6_token_counts,
+    "op7_shard_lookup": op7_shard_lookup,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
