@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.decontaminate import benchmark_matches
+from corpusmill.llm.html_templates import extract_main_text
 from corpusmill.llm.line_rules import line_rules
 from corpusmill.llm.pu_toxicity import toxicity
 from corpusmill.llm.sentencepiece_codec import encode
@@ -66,6 +67,10 @@ def op7_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(docs, [f"shard-{i:05d}" for i in range(256)], ["doc_id"])
 
 
+def op8_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, max_bits=4)
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_shard_lookup": op7_shard_lookup,
+    "op8_html_templates": op8_html_templates,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
