@@ -1,10 +1,6 @@
 """Registered queries over the bundled tables, each beside the SQL that must give the same rows."""
 
-from __future__ import annotations
+from corpusmill.queries import relational, sampling, text  # noqa: F401
+from corpusmill.queries.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
