@@ -43,6 +43,9 @@ from corpusmill.llm.words import rolling, slices
 #: Words whose ids a Python worker keeps; it bounds memory and changes no result.
 CACHE = 700_000
 _ODD = re.compile(r"^\s|\s\s|\s$")
+#: How byte-level vocabularies write bytes: printable ones of Latin-1 as themselves, the others, in order, from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -60,12 +63,33 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # with plain byte-level BPE, a word of letters is one part and can go to the merges directly
+        self.direct = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
+        self.marks = {c: np.array(self.library.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Keeps the ids of words as they stand in a split text: with a space in front, unless they begin with \r or a line feed."""
+        merge, known, rest = self.library.model.tokenize, self.known, []
+        for w in words:
+            stem = w if w.isalpha() else w[:-1]
+            if not (self.direct and stem.isalpha() and max(stem) < "\u0250" and (stem is w or w[-1] in self.marks)):
+                rest.append(w)
+                continue
+            ids = known.get(stem)
+            if ids is None:
+                plain = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = known[stem] = np.array([t.id for t in merge("\u0120" + plain)], self.dtype).tobytes()
+            if stem is not w:
+                known[w] = ids + self.marks[w[-1]].astype(self.dtype).tobytes()
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            known.update(zip(part, self._ids([w[1:] if w[0] == "\r" else w if w[0] == "\n" else " " + w for w in part]), strict=True))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
         whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True)) if odd else {}
@@ -74,10 +98,7 @@ class Encoder:
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = set().union(*split)
-        words = list(new)
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            self.known.update(zip(part, self._ids([w[1:] if w[0] == "\r" else w if w[0] == "\n" else " " + w for w in part]), strict=True))
+        self._learn(list(new))
         get = self.known.__getitem__
         return [np.frombuffer(whole[i] if i in whole else b"".join(map(get, s)), self.dtype) for i, s in enumerate(split)]
 
