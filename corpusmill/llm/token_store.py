@@ -254,19 +254,19 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, doc, row, root, items = (c.to_pylist() for c in batch.columns)
-            items = [sorted(x, key=lambda i: i["at"]) for x in items]
-            crcs = join_crcs([[i["crc"] or 0 for i in x] for x in items], [[4 * (i["n"] or 0) for i in x] for x in items])
-            fine = [all(i["sound"] for i in x) and merkle([i["hash"] for i in x]) == r for x, r in zip(items, root, strict=True)]
+            root, names, sizes, crcs, sound = (batch.column(i).to_pylist() for i in range(3, 8))
+            joined = join_crcs([[c or 0 for c in x] for x in crcs], [[4 * (n or 0) for n in x] for x in sizes])
+            fine = [all(x) and merkle(h) == r for x, h, r in zip(sound, names, root, strict=True)]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([sum(i["n"] or 0 for i in x) for x in items], pa.int64()), pa.array(crcs.astype(np.int64)), pa.array(fine, pa.bool_())],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([sum(n or 0 for n in x) for x in sizes], pa.int64()), pa.array(joined.astype(np.int64)), pa.array(fine, pa.bool_())],
                 ["part", "doc_id", "row", "n_tokens", "ids_crc32", "verified"],
             )
 
     read = _chunks(spark, path).mapInArrow(digests, "hash binary, n bigint, crc bigint, sound boolean")
     joined = _entries(spark, path).join(read, "hash", "left")
-    grouped = joined.groupBy("part", "doc_id", "row", "root").agg(F.collect_list(F.struct("at", "hash", "n", "crc", "sound")).alias("items"))
-    docs = grouped.mapInArrow(documents, "part int, doc_id bigint, row binary, n_tokens bigint, ids_crc32 bigint, verified boolean")
+    grouped = joined.groupBy("part", "doc_id", "row", "root").agg(F.array_sort(F.collect_list(F.struct("at", "hash", "n", "crc", "sound"))).alias("items"))
+    lists = grouped.select("part", "doc_id", "row", "root", *[F.col(f"items.{c}").alias(c) for c in ("hash", "n", "crc", "sound")])
+    docs = lists.mapInArrow(documents, "part int, doc_id bigint, row binary, n_tokens bigint, ids_crc32 bigint, verified boolean")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     parts = spark.read.parquet(f"{path}/manifest").select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("__base"))
     own = Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
