@@ -12,9 +12,9 @@ from corpusmill.functions.text import casefold, tokens
 
 
 def char_ngrams(text: str | Column, low: int = 3, high: int = 5) -> Column:
+    """All runs of low to high characters; a look-ahead matches at each place, so this is one pass for each length."""
     t = casefold(text)
-    grams = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*grams)
+    return F.concat(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)])
 
 
 def word_ngrams(text: str | Column) -> Column:

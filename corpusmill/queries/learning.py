@@ -11,6 +11,7 @@ from corpusmill.operators import ml as L
 from corpusmill.operators import replay as R
 from corpusmill.operators.neighbours import nearest_vectors
 from corpusmill.queries.registry import Tables, query
+from corpusmill.session import materialize
 
 
 @query()
@@ -101,7 +102,7 @@ def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def _baseline(t: Tables, grams, most: int) -> DataFrame:
     train, rows = _split(t)
-    x = L.tfidf_vectors(train, rows, "doc_id", grams, most=most).join(rows.select("doc_id", "label", "test"), "doc_id")
+    x = materialize(L.tfidf_vectors(train, rows, "doc_id", grams, most=most).join(rows.select("doc_id", "label", "test"), "doc_id"), "tfidf")
     model = L.logistic(x.filter("NOT test"), rounds=30)
     return L.positive_score(model, x).select("doc_id", "label", "test", F.round("score", 6).alias("score"))
 
