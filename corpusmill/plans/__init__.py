@@ -1 +1 @@
-
+"""Composed plans."""
