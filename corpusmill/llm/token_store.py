@@ -212,8 +212,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ave
     rows = own.mapInArrow(run, "kind string, hash binary, doc_id bigint, n bigint, root binary, payload binary")
     first = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("kind", "hash").orderBy(F.lit(0)))).filter("__rn = 1").drop("__rn")
     first.write.partitionBy("kind").parquet(f"{path}/data")
-    schema = "hash binary, doc_id bigint, n bigint, root binary, payload binary"
-    recipes = spark.read.schema(schema).parquet(f"{path}/data/kind=recipe").select("doc_id", F.col("hash").alias("row"), "n", "root", F.col("payload").alias("hashes"))
+    recipes = _rows(spark, path, "recipe").select("doc_id", F.col("hash").alias("row"), "n", "root", F.col("payload").alias("hashes"))
     order = [F.col("doc_id"), F.col("row")]
     ranged = recipes.repartitionByRange(parts, *order) if parts else recipes.repartitionByRange(*order)
     ranged.sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{path}/recipes")
@@ -224,8 +223,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ave
     ).write.parquet(f"{path}/manifest")
 
 
+def _rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of one kind; only its folder is read, and it may be missing."""
+    schema = "hash binary, doc_id bigint, n bigint, root binary, payload binary, kind string"
+    return spark.read.schema(schema).parquet(f"{path}/data").filter(F.col("kind") == kind)
+
+
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("hash binary, n bigint, payload binary").parquet(f"{path}/data/kind=chunk")
+    return _rows(spark, path, "chunk").select("hash", "n", "payload")
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
