@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import shingles, tokens
+from corpusmill.session import materialize
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str = "text", width: int = 24, sampled: bool = False) -> DataFrame:
@@ -34,11 +35,12 @@ def overlap_pairs(prints: DataFrame, id_col: str, measure: str, threshold: float
     For min (containment) the smaller set's prefix is joined to the other's whole set.
     """
     sized = prints.withColumns({"__n": F.count("*").over(Window.partitionBy(id_col)), "__df": F.count("*").over(Window.partitionBy("h"))})
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("__df", "h"))
-    head = sized.withColumn("__at", rank).filter(F.col("__at") <= F.col("__n") - F.ceil(F.col("__n") * threshold) + 1).filter("__df > 1")
+    sized = sized.withColumn("__at", F.row_number().over(Window.partitionBy(id_col).orderBy("__df", "h")))
+    sized = materialize(sized.filter("__df > 1"), "prints")  # four scans below; a fingerprint of one row pairs nothing, but counts in __n
+    head = sized.filter(F.col("__at") <= F.col("__n") - F.ceil(F.col("__n") * threshold) + 1)
     left = head.select(F.col(id_col).alias("x"), F.col("__n").alias("nx"), "h")
     if measure == "min":
-        right = sized.filter("__df > 1").select(F.col(id_col).alias("y"), F.col("__n").alias("ny"), "h")
+        right = sized.select(F.col(id_col).alias("y"), F.col("__n").alias("ny"), "h")
         cand = left.join(right, "h").filter((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny")))
     else:
         right = head.select(F.col(id_col).alias("y"), F.col("__n").alias("ny"), "h")
