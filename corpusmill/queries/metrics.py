@@ -131,8 +131,8 @@ def loo_threshold(t: Tables) -> DataFrame:
     s = scored(t)
     held = s.select(F.col("lang").alias("held")).distinct()
     cut = M.threshold_at(s.join(F.broadcast(held), F.col("lang") != F.col("held")), 0.05, ["held"])
-    a = s.join(F.broadcast(cut), F.col("lang") == F.col("held")).filter("label = 0")
-    return a.groupBy("held").agg(F.count_if(F.col("score") > F.col("cut")).alias("fp"), F.count("*").alias("n"))
+    a, clean = s.join(F.broadcast(cut), F.col("lang") == F.col("held")), F.col("label") == 0
+    return a.groupBy("held").agg(F.count_if(clean & (F.col("score") > F.col("cut"))).alias("fp"), F.count_if(clean).alias("n"))
 
 
 @query(f"""WITH {_S}, t AS (SELECT unnest([0.005, 0.01, 0.02, 0.05]) AS target), r AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS rn, count(*) OVER () AS n FROM s WHERE label = 0), c AS (SELECT target, score AS cut FROM t JOIN r ON rn = floor(target::DOUBLE * n) + 1)
