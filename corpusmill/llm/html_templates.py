@@ -42,6 +42,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialize
+
 # HTML element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -215,6 +217,7 @@ def deduce_templates(pages: DataFrame, least_tokens: int = 3, least_pages: int =
     tokens = occurrence_signatures(pages)
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
     often = tokens.filter(F.col("n_pages") >= least_pages).join(hosts, "host").filter(F.col("n_pages") >= least_share * F.col("pages"))
+    often = materialize(often, "often")  # pages are read once for it, not once for each use
     classes = often.groupBy("host", "sig", "n_pages").agg(F.count("*").alias("tokens")).filter(F.col("tokens") >= least_tokens)
     members = often.join(classes, ["host", "sig", "n_pages"], "left_semi").select("host", "token", "is_text", "n_pages", (F.col("n_pages") / F.col("pages")).alias("share"), "sig", (F.col("place") / F.col("n_pages")).alias("place"))
 
