@@ -5,11 +5,11 @@ Native: DataFrame functions only, no Python on the executors.
 Line frequency: lines are normalised (white space runs become one space, ends
 trimmed, lower case) and hashed together with their host. Per host and line the
 distinct documents are counted; a line that stands in more than `max_docs`
-documents of a host is removed there. Documents count by their other content:
-what stands for a document is the smallest hash of its other lines, so exact
-copies of a text (and near copies, which mostly share that line) count once, and
-a group of copies doesn't make its own text look like boilerplate. A document
-that loses more than `max_lost` of its words is depleted and rejected.
+documents of a host is removed there. What stands for a document is a hash of the
+sorted set of its line hashes, so exact copies of a text count once, and a group
+of copies doesn't make its own text look like boilerplate; documents that differ
+in any line count each, whatever lines they share. A document that loses more
+than `max_lost` of its words is depleted and rejected.
 
 The lines above the limit number at most (document, line) pairs / max_docs. Up to
 `max_listed` of them (counted first) go into the plan as a set, so texts are
@@ -80,8 +80,7 @@ def frequent_lines(df: DataFrame, text: str, host: str, max_docs: int) -> DataFr
     """(h): hashes of host and line that stand in more than max_docs documents."""
     lines = _hashed(df.select(text, host), text, host)
     lines = lines.select(F.array_sort(F.array_distinct(F.filter(F.transform("__lines", lambda x: x["h"]), lambda x: x.isNotNull()))).alias("__h"))
-    lines = lines.select(F.get("__h", F.lit(0)).alias("__a"), F.get("__h", F.lit(1)).alias("__b"), F.explode("__h").alias("h"))
-    lines = lines.select("h", F.when(F.col("h") == F.col("__a"), F.coalesce("__b", F.lit(-1))).otherwise(F.col("__a")).alias("doc"))
+    lines = lines.select(F.xxhash64("__h").alias("doc"), F.explode("__h").alias("h"))
     return lines.groupBy("h").agg(F.count_distinct("doc").alias("n")).filter(F.col("n") > max_docs).select("h")
 
 

@@ -188,6 +188,18 @@ def test_line_rules(spark, docs, none):
         assert all(out[200 + i].kept and out[200 + i].n_removed == 0 for i in range(40))
 
 
+def test_lines_shared_by_all_pages_of_a_host(spark):
+    rng = random.Random(10)
+    shared = [f"shared line {k}: {text(rng, 4)}" for k in range(5)]
+    rows = [(i, "\n".join([*shared[:2], text(rng, 60), f"own {i}", *shared[2:]]), "h") for i in range(30)]
+    rows += [(100 + i, rows[0][1].replace("own 0", "copied"), "g") for i in range(40)]  # copies count once
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for listed in (1000, 0):
+        out = {r.doc_id: r for r in Q.line_rules(df, max_docs=20, max_listed=listed).collect()}
+        assert all(out[i].n_removed == 35 and out[i].kept and "shared" not in out[i].clean_text for i in range(30))
+        assert all(out[100 + i].n_removed == 0 and out[100 + i].kept for i in range(40))
+
+
 def test_repeat_words(spark):
     rng = random.Random(1)
     rows = [(i, text(rng, rng.randrange(0, 120), WORDS[:4] if i % 2 else WORDS)) for i in range(80)]
