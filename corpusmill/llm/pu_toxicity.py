@@ -1,15 +1,20 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Two kinds of training rows: positives (confirmed toxic) and unlabelled (a sample of
-all training rows, whatever their label; nothing is taken to be clean). With class prior p and loss L the
+all training rows, whatever their label). With class prior p and loss L the
 risk is p * E_P[L(+)] + max(0, E_U[L(-)] - p * E_P[L(-)]); where a batch
 makes the second term fall below -beta, its gradient is turned round, so the
 classifier can't profit from overfitting it. The classifier is a logistic model
 over hashed features in numpy: distinct lower-cased words and the first `PREFIX`
 bytes of longer words. Text alone enters a score.
 
-The fit uses at most `max_positive` and `max_unlabelled` rows, those with the
-smallest hashes of their ids, which bounds what the driver gathers and holds;
+The score is calibrated on labelled training rows: of their distinct texts, toxic
+and clean, a logistic curve over the fitted value gives the probability of label
+1. Nothing fixes how many rows reach 0.7, and a text without a telling feature
+stays below it. Rows labelled clean have no part in the weights.
+
+The fit uses at most `max_positive` and `max_unlabelled` rows, the calibration
+as many clean ones as `max_unlabelled`, those with the smallest hashes of their ids, which bounds what the driver gathers and holds;
 the prior is counted over all labelled training rows. Scoring reads every text.
 
 Nulls: null and empty texts have no features and get the score of the bias;
@@ -74,14 +79,41 @@ def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_z: fl
     return (p >= least_rows) & ((p / len(positive) - u / len(unlabelled)) / spread > least_z)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 12, batch: int = 512, rate: float = 0.02, decay: float = 1e-5, beta: float = 0.0, cut: float = 0.7, seed: int = 0) -> Model:
-    """Each list entry holds the features of a text. Without positives or unlabelled rows every score is the prior."""
+def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of y over z, with smoothed targets; (1, 0) where z doesn't tell the labels apart."""
+    n1, n0 = weight[y].sum(), weight[~y].sum()
+    target = np.where(y, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.stack([z, np.ones_like(z)], 1)
+
+    def loss(t: np.ndarray) -> float:
+        v = x @ t
+        return float(np.sum(weight * (np.logaddexp(0, v) - target * v)))
+
+    now = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
+    for _ in range(rounds):
+        s = 1 / (1 + np.exp(-np.clip(x @ now, -50, 50)))
+        grad = x.T @ (weight * (s - target))
+        step = np.linalg.solve((x * (weight * s * (1 - s))[:, None]).T @ x + 1e-9 * np.eye(2), grad)
+        size = 1.0
+        while size > 1e-6 and loss(now - size * step) > loss(now):
+            size /= 2
+        now = now - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return (float(now[0]), float(now[1])) if now[0] > 0 and np.isfinite(now).all() else (1.0, 0.0)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, clean: list[np.ndarray] | None = None, counts: tuple[int, int] | None = None, epochs: int = 12, batch: int = 512, rate: float = 0.02, decay: float = 1e-5, beta: float = 0.0, cut: float = 0.7, seed: int = 0) -> Model:
+    """Each list entry holds the features of a text. Without positives or unlabelled rows every score is the prior, if that is below `cut`. clean: rows labelled so, for the calibration; counts: how many labelled rows positive and clean stand for."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     weights, bias = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
-        return Model(weights, bias)
+        return Model(weights, min(bias, float(np.log(cut / (1 - cut))) - 1e-6))
+    stands = [n / max(1, len(x)) for n, x in zip(counts or (len(positive), len(clean or [])), (positive, clean or []), strict=True)]
+    # copies of a text count once, so a group of them doesn't decide what is usual
+    positive, unlabelled, clean = (list({f.tobytes(): f for f in x}.values()) for x in (positive, unlabelled, clean or []))
     telling = select(positive, unlabelled)
-    positive, unlabelled = ([f[telling[f]] for f in x] for x in (positive, unlabelled))
+    positive, unlabelled, clean = ([f[telling[f]] for f in x] for x in (positive, unlabelled, clean))
     rng = np.random.default_rng(seed)
     m1, m2, b1, b2, step = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0, 0
     for _ in range(epochs):
@@ -111,10 +143,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             gb = gp.sum() + gu.sum()
             b1, b2 = 0.9 * b1 + 0.1 * gb, 0.999 * b2 + 0.001 * gb**2
             bias -= rate * (b1 / (1 - 0.9**step)) / (np.sqrt(b2 / (1 - 0.999**step)) + 1e-8)
-    # the prior also places the cut: its share of the unlabelled rows, and no more, shall reach the score `cut`
-    of, f = _rows(unlabelled, np.arange(len(unlabelled)))
-    z = np.bincount(of, weights=weights[f], minlength=len(unlabelled)) + bias
-    return Model(weights, float(bias + np.log(cut / (1 - cut)) - np.quantile(z, 1 - prior)))
+    if telling.any() and clean:
+        of, f = _rows(positive + clean, np.arange(len(positive) + len(clean)))
+        y = np.arange(len(positive) + len(clean)) < len(positive)
+        slope, offset = calibrate(np.bincount(of, weights=weights[f], minlength=len(y)) + bias, y, np.where(y, *stands))
+        weights, bias = slope * weights, slope * bias + offset
+    # a text without a telling feature says nothing, so its score stays below the cut
+    return Model(weights, min(bias, float(np.log(cut / (1 - cut))) - 1e-6))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -138,7 +173,7 @@ def _sample(df: DataFrame, n: int) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 12000, label_col: str = "toxic", **options) -> Model:
-    """Fits on rows that aren't held out: positives carry label 1; the unlabelled are drawn from all."""
+    """Fits on rows that aren't held out: positives carry label 1; the unlabelled are drawn from all; clean ones carry another label."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").filter(~held_out())
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
     n, toxic = marks.agg(F.count("*"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
@@ -147,8 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     ids = own.select("doc_id").distinct()
     positive = ids.join(marks.filter("y = 1"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
     unlabelled = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled)
-    found = [_sample(own.join(F.broadcast(x), "doc_id", "left_semi"), k) for x, k in ((positive, max_positive), (unlabelled, max_unlabelled))]
-    return fit(found[0], found[1], (toxic or 0) / n if n else 0.0, **options)
+    clean = ids.join(marks.filter("y <> 1"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled)
+    found = [_sample(own.join(F.broadcast(x), "doc_id", "left_semi"), k) for x, k in ((positive, max_positive), (unlabelled, max_unlabelled), (clean, max_unlabelled))]
+    return fit(found[0], found[1], (toxic or 0) / n if n else 0.0, found[2], (toxic or 0, n - (toxic or 0)), **options)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

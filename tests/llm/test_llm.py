@@ -291,6 +291,31 @@ def test_pu_toxicity(spark, none):
     assert U.toxicity(none, labels).count() == 0 and U.toxicity(docs, labels.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("copies", ["clean", "toxic"])
+def test_pu_toxicity_with_copies(spark, copies):
+    rng = random.Random(16)
+    insults = ["scum", "moron", "idiot", "vermin"]
+    truth = [i % 10 == 0 for i in range(2000)]
+    rows = [(i, text(rng, 40) + (f" {rng.choice(insults)} {rng.choice(insults)}" if toxic else ""), "en", "s", 1) for i, toxic in enumerate(truth)]
+    marks = [(i, int(toxic)) for i, toxic in enumerate(truth) if rng.random() < 0.5]
+    one = text(rng, 40) + (" scum moron" if copies == "toxic" else "")
+    rows += [(10_000 + i, one, "en", "s", 1) for i in range(1000)]
+    got = {r.doc_id: r.predicted for r in U.toxicity(spark.createDataFrame(rows, DDL), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    assert np.mean([got[i] for i, toxic in enumerate(truth) if toxic]) > 0.95
+    assert np.mean([got[i] for i, toxic in enumerate(truth) if not toxic]) < 0.005
+    assert {got[10_000 + i] for i in range(1000)} == {int(copies == "toxic")}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+def test_pu_fit_with_few_positives(n):
+    rng = np.random.default_rng(n)
+    rows = [np.unique(rng.integers(0, 1 << U.BITS, 30)) for _ in range(400)]
+    for prior in (0.0, 0.01, 0.3, 0.9):
+        for clean in ([], rows[n : n + 100]):
+            m = U.fit(rows[:n], rows, prior, clean)
+            assert not m.weights.any() and (m.scores(["", "some words", "more of them"]) < 0.7).all()
+
+
 # 2
 
 
