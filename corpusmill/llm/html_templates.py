@@ -3,8 +3,11 @@
 1. Each page is read as a sequence of tokens: tag paths and, with their paths,
    the texts of blocks. A token's occurrence vector says how often it stands on
    each page of its host. Vectors are never gathered: a token carries the number
-   of its pages and the XOR of a hash of (page, count), which combine in any
+   of its pages and the sum of a hash of (page, count), which combine in any
    order, so a host with a third of all pages is summed up within each task.
+   Copies of a page on a host are one page: each of n copies gives an n-th of
+   both, the sum's by division modulo a prime, so no text is shuffled for it
+   (unless more than `held_copies` different pages have copies).
 2. Tokens of a host with the same vector form an equivalence class. It is valid
    if it has at least `least_tokens` tokens, on at least `least_pages` pages and
    `least_share` of the host's pages. Valid classes are nested by the range of
@@ -175,10 +178,12 @@ def _signed(x: int) -> int:
 
 
 _FLUSH = 200_000
+#: Sums of signatures are taken modulo this prime, where each number of copies has an inverse.
+_PRIME = (1 << 61) - 1
 
 
 def occurrence_signatures(pages: DataFrame) -> DataFrame:
-    """(host, token, is_text, n_pages, sig, place) per token of a host; pages has host, page, html."""
+    """(host, token, is_text, n_pages, sig, place) per token of a host; pages has host, page, copies (rows with this host and page) and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -186,36 +191,42 @@ def occurrence_signatures(pages: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             rows = [(h, _signed(t), *v) for (h, t), v in held.items()]
             held.clear()
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.float64()]
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], ["host", "token", "is_text", "n_pages", "sig", "place"])
 
         for batch in batches:
-            for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for host, page, copies, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = pow(copies, -1, _PRIME)
                 tokens = list(page_tokens(*read_page(html)))
                 first = {}
                 for i, (t, text) in enumerate(tokens):
                     first.setdefault(t, (i / len(tokens), text))
                 for t, n in Counter(t for t, _ in tokens).items():
-                    sig = _signed(xxhash.xxh64_intdigest(b"%d:%d" % (page, n)))
+                    sig = xxhash.xxh64_intdigest(b"%d:%d" % (page, n)) * part % _PRIME
                     place, text = first[t]
                     if old := held.get((host, t)):
-                        old[1] += 1
-                        old[2] ^= sig
-                        old[3] += place
+                        old[1] += 1 / copies
+                        old[2] = (old[2] + sig) % _PRIME
+                        old[3] += place / copies
                     else:
-                        held[host, t] = [text, 1, sig, place]
+                        held[host, t] = [text, 1 / copies, sig, place / copies]
                 if len(held) > _FLUSH:
                     yield flush()
         yield flush()
 
-    rows = pages.mapInArrow(run, "host bigint, token bigint, is_text boolean, n_pages bigint, sig bigint, place double")
-    return rows.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.sum("n_pages").alias("n_pages"), F.bit_xor("sig").alias("sig"), F.sum("place").alias("place"))
+    rows = pages.mapInArrow(run, "host bigint, token bigint, is_text boolean, n_pages double, sig bigint, place double")
+    sig = F.sum(F.col("sig").cast("decimal(38,0)")) % F.lit(_PRIME).cast("decimal(38,0)")
+    return rows.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.round(F.sum("n_pages")).cast("long").alias("n_pages"), sig.cast("long").alias("sig"), F.sum("place").alias("place"))
 
 
-def deduce_templates(pages: DataFrame, least_tokens: int = 3, least_pages: int = 4, least_share: float = 0.5) -> DataFrame:
+def deduce_templates(pages: DataFrame, least_tokens: int = 3, least_pages: int = 4, least_share: float = 0.5, held_copies: int = 1_000_000) -> DataFrame:
     """(host, token, is_text, n_pages, share, class_id, parent, depth, place): the template of each host."""
-    tokens = occurrence_signatures(pages)
-    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = materialize(pages.groupBy("host", "page").agg(F.count("*").alias("copies")), "counts")
+    repeated = counts.filter("copies > 1")
+    few = repeated.limit(held_copies + 1).count() <= held_copies
+    marked = pages.join(F.broadcast(repeated) if few else repeated.hint("merge"), ["host", "page"], "left")
+    tokens = occurrence_signatures(marked.select("host", "page", F.coalesce("copies", F.lit(1)).alias("copies"), "html"))
+    hosts = counts.groupBy("host").agg(F.count("*").alias("pages"))
     often = tokens.filter(F.col("n_pages") >= least_pages).join(hosts, "host").filter(F.col("n_pages") >= least_share * F.col("pages"))
     often = materialize(often, "often")  # pages are read once for it, not once for each use
     classes = often.groupBy("host", "sig", "n_pages").agg(F.count("*").alias("tokens")).filter(F.col("tokens") >= least_tokens)
@@ -262,8 +273,8 @@ def extract_main_text(
     names = [c for c in pages.columns if c not in ("text", "n_chars") and c != html_col]
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     own = pages.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(host).alias("__host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("__html"))
-    distinct = own.select(F.col("__host").alias("host"), F.xxhash64("__html").alias("page"), F.col("__html").alias("html"))
-    template = deduce_templates(distinct, **options)
+    hashed = own.select(F.col("__host").alias("host"), F.xxhash64("__html").alias("page"), F.col("__html").alias("html"))
+    template = deduce_templates(hashed, **options)
     fixed = (F.col("share") >= fixed_share) & (F.col("n_pages") >= fixed_pages)
     texts = template.filter("is_text").select("host", "token", fixed.alias("fixed"))
     known = texts.limit(held_rows + 1).collect()

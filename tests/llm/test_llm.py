@@ -419,6 +419,23 @@ def test_templates(spark):
     assert H.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_templates_with_copies_of_a_page(spark):
+    rng = random.Random(13)
+    page = lambda k, own: f"<body><div><p>Welcome to our pages<p>{own}<p>{k} and more</div><div><p>Kept by us<p>Every page says so</div></body>"
+    whole = "<body><p>One text<p>two texts<p>three texts<p>four texts</body>"
+    rows = [(i, "https://a.example/x", page(i, text(rng, 20))) for i in range(6)] + [(100 + i, "https://a.example/x", page("copy", "An article that stands once")) for i in range(20)]
+    rows += [(200 + i, "https://b.example/x", whole) for i in range(8)] + [(300 + i, "https://b.example/x", f"<p>other {i}") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for held in (1000, 0):
+        got = {r.page_id: r.text for r in H.extract_main_text(df, held_copies=held).collect()}
+        assert {got[100 + i] for i in range(20)} == {"An article that stands once copy and more"}
+        assert got[0] == f"{rows[0][2].split('<p>')[2]} 0 and more"
+        assert {got[200 + i] for i in range(8)} == {"One text two texts three texts four texts"} and got[300] == "other 0"
+    one = df.select(F.lit(1).cast("long").alias("host"), F.xxhash64("html").alias("page"), "html")
+    columns = ["token", "n_pages", "share", "class_id"]
+    assert sorted(H.deduce_templates(one).select(columns).collect()) == sorted(H.deduce_templates(one.distinct()).select(columns).collect())
+
+
 def test_registry():
     ten = sorted(int(k[2:].split("_")[0]) for k in QUERIES)
     assert ten == list(range(1, 11)) and set(ORACLES) <= set(QUERIES) and json.dumps(sorted(QUERIES))
