@@ -13,8 +13,8 @@
    `least_share` of the host's pages. Valid classes are nested by the range of
    their mean places: a class lies within the narrowest class around it. Together
    they are the host's template.
-3. What isn't template fills slots. A block is extracted if its slot is content:
-   texts that belong to the template go, and so do the parts of a page that are
+3. Blocks are extracted by rules; the nesting of step 2 is not used for it. Texts
+   that belong to the template go, and so do the parts of a page that are
    no article by their element or class: menus, headers, footers, sidebars,
    notices, adverts, forms, comments, scripts and styles. Where a page has an
    article or main element, the blocks within are taken (a repeated text there
