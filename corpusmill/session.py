@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -79,3 +80,9 @@ def bucket_count(df: DataFrame, bytes_each: int = 4 << 20) -> int:
     """How many hash buckets split df so that each stays near bytes_each on disk; never fewer than the shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1 << 20, math.ceil(size_in_bytes(df) / bytes_each)))
+
+
+def text_buckets(df: DataFrame, text_col: str, bytes_each: int) -> int:
+    """How many hash buckets split df so that each has about bytes_each of (uncompressed) text; never fewer than the shuffle partitions."""
+    total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bytes_each))
