@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.blocks import release
 from corpusmill.llm.words import slices
 
-CACHE = 700_000
+CACHE = 300_000
 MARK = "▁"
 _RUN = re.compile(r"\n[^ \n]*| +[^ \n]*|[^ \n]+")
 _codecs: dict[str, "Codec"] = {}
@@ -118,7 +119,7 @@ class Codec:
         known = self.pairs.get(key)
         if known is None:
             x, y = self.text[a], self.text[b]
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             known = self.pairs[key] = self.merges(x + y) == [x, y]
         return known
@@ -216,6 +217,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep_ids: b
                 columns.append(pa.array([None if n else zlib.crc32(x) for n, x in zip(null, ids, strict=True)], pa.int64()))
                 columns.append(pa.array([None if t is None else c.decode(x) == t.encode() for t, x in zip(part, ids, strict=True)], pa.bool_()))
                 yield pa.record_batch(columns, [*names, *added])
+        release()
 
     kinds = {"ids": "array<int>", "n_pieces": "bigint", "ids_crc32": "bigint", "round_trip": "boolean"}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]), *(f"{n} {kinds[n]}" for n in added)])

@@ -11,16 +11,22 @@ on the input.
    always share an anchor at the same shift.
 2. Anchors that occur once are dropped (32 bits of their hash and the bucket tell;
    a chance hit only adds a candidate); the others are extended to the full
-   windows around them, which get a 96-bit hash.
+   windows around them, which get a 96-bit hash of their 64-bit word hashes.
 3. The earliest start of each hash stays, all others mark their words.
 
 Each step combines equal hashes within a task before the shuffle, so a passage
 that a third of the corpus shares sends one record per task, and no step
 emits pairs. Two exchanges move hashes; one moves the texts and is used twice.
 
+Memory: texts and hashes are dealt into buckets of about `bucket_bytes` of text
+(the total is measured first), and a task holds one bucket at a time. Buckets of
+texts go by id and text, so rows that share a null or repeated id spread out.
+
 Nulls: a null text has no words, a null doc_id counts as the smallest. Rows that
-repeat a doc_id and text are equal, so neither is earlier than the other. All
-other columns pass through; the result has a row for each input row.
+repeat a doc_id and text are equal, so neither is earlier than the other; a
+repeated doc_id with another text is one document, earlier by its start alone.
+Empty tables give empty results. The result has a row for each input row; input
+columns n_words, n_removed and kept_sha256 are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -34,13 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.blocks import BLOCK_DDL, ROUTED_DDL, block_batch, routed, routed_table, unpack
+from corpusmill.llm.blocks import BLOCK_DDL, ROUTED_DDL, block_batch, release, routed, routed_table, unpack
 from corpusmill.llm.words import rolling, slices, words
-from corpusmill.session import bucket_count
+from corpusmill.session import text_buckets
 
 #: (period, cover): every residue is a difference of two members.
 COVERS = ((13, (0, 1, 3, 9)), (7, (0, 1, 3)), (3, (0, 1)), (1, (0,)))
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 _KEY = ["<i8", "<u4", "<u4"]  # doc_id, hash of the text, document bucket
 _ID, _TEXT, _BUCKET = "__cm_id", "__cm_text", "__cm_bucket"
 
@@ -71,18 +77,18 @@ def _ids(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, bucket_bytes: int = 8 << 20) -> DataFrame:
     """docs with `text` reduced to what is kept, plus n_words, n_removed (long) and kept_sha256.
 
     kept_sha256 is the SHA-256 of the kept words joined by one space. A text that
     loses nothing stays as it is; else the kept runs are joined by a line feed.
     """
     period, cover, width = cover_for(window)
-    n_buckets = buckets or bucket_count(docs, 32 << 20)
+    n_buckets = buckets or text_buckets(docs, text_col, bucket_bytes)
     own = docs.withColumns({
         _ID: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
         _TEXT: F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"),
-    }).withColumn(_BUCKET, F.pmod(F.xxhash64(_ID), F.lit(n_buckets)))
+    }).withColumn(_BUCKET, F.pmod(F.xxhash64(_ID, _TEXT), F.lit(n_buckets)))
     on_cover = np.zeros(period, bool)
     on_cover[list(cover)] = True
 
@@ -112,6 +118,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
                 if sum(len(x[0]) for x in held) > _FLUSH:
                     yield from flush()
         yield from flush()
+        release()
 
     def repeated(table: pa.Table) -> pa.Table:
         kind, payload = table.column("kind").to_pylist(), table.column("payload").to_pylist()
