@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import materialize
+from corpusmill.session import discard, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Loops, repeated and null edges are ignored. Each round is written to the
     shared folder, so the plan stays short and a lost executor costs one round.
-    Only two numbers a round come to the driver.
+    Only two numbers a round come to the driver, and the round before goes.
     """
     now = materialize(
         edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(),
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     mark = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
         new = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -54,7 +54,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df; nothing that still reads it may run later."""
+    remove(df.sparkSession, df._written_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
