@@ -27,34 +27,56 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import rolling, slices
-
-#: Words whose ids a Python worker keeps; it bounds memory and changes no result.
-CACHE = 700_000
-_ODD = re.compile(r"^\s|\s\s|\s$")
+from corpusmill.llm.blocks import release
+from corpusmill.llm.words import rolling
+
+#: Parts of texts whose ids a Python worker keeps; it bounds memory and changes no result.
+CACHE = 200_000
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+SLICE = 8 << 20
+_SPACE = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts that go to the library whole: white space at an end or beside other white space, NUL, and characters whose class
+#: (letter, number or other) hasn't been the same in all versions of Unicode.
+_ODD = rf"^[{_SPACE}]|[{_SPACE}][{_SPACE}]|[{_SPACE}]$|[^\x01-\x{{220}}\x{{222}}-\x{{233}}\x{{391}}-\x{{3a1}}\x{{3a3}}-\x{{3ce}}\x{{401}}-\x{{44f}}\x{{451}}-\x{{45c}}\x{{2010}}-\x{{2027}}\x{{2030}}-\x{{2046}}\x{{20ac}}\x{{3001}}-\x{{3003}}\x{{3041}}-\x{{3094}}\x{{30a1}}-\x{{30fa}}\x{{4e00}}-\x{{9fa5}}\x{{ac00}}-\x{{d7a3}}\x{{ff01}}-\x{{ff5e}}]"
+#: Fixed value: how byte-level vocabularies of this kind split a text in which white space stands alone.
+_PART = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 #: How byte-level vocabularies write bytes: printable ones of Latin-1 as themselves, the others, in order, from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _encoders: dict[str, "Encoder"] = {}
 
 
+def text_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes together; a longer text is a range of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    begin = 0
+    while begin < len(size):
+        done = size[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(size, done + most, "right")))
+        yield begin, end
+        begin = end
+
+
 class Encoder:
-    """Byte-level BPE of the tokenizers library, with the ids of recent words kept.
+    """Byte-level BPE of the tokenizers library over many texts at once.
 
-    The library splits texts before it merges, and a single space or line feed
-    between two other characters always begins a new part: pieces cut there
-    encode independently. Texts with other white space go to the library whole.
+    The library splits a text into parts and then merges within each part. Where
+    it splits in the usual way, the splitting is done here for a whole slice of
+    texts, and each distinct part goes to the library's merges once. Texts that
+    could be split in another way or hold a special token go to the library
+    whole, and so does everything where it splits or normalises differently.
     """
 
     def __init__(self, path: str):
@@ -62,45 +84,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        # with plain byte-level BPE, a word of letters is one part and can go to the merges directly
-        self.direct = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
-        self.marks = {c: np.array(self.library.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
-        self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.direct = repr(self.library.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in repr(self.library.pre_tokenizer) and self.library.normalizer is None
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.dtype, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Keeps the ids of words as they stand in a split text: with a space in front, unless they begin with \r or a line feed."""
-        merge, known, rest = self.library.model.tokenize, self.known, []
-        for w in words:
-            stem = w if w.isalpha() else w[:-1]
-            if not (self.direct and stem.isalpha() and max(stem) < "\u0250" and (stem is w or w[-1] in self.marks)):
-                rest.append(w)
-                continue
-            ids = known.get(stem)
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, which begin with U+0120 in place of a space."""
+        known, merge, code, out = self.known, self.library.model.tokenize, self.code, []
+        if len(known) > CACHE:
+            known.clear()
+        get, keep = known.get, out.append
+        for p in parts:
+            ids = get(p)
             if ids is None:
-                plain = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = known[stem] = np.array([t.id for t in merge("\u0120" + plain)], self.dtype).tobytes()
-            if stem is not w:
-                known[w] = ids + self.marks[w[-1]].astype(self.dtype).tobytes()
-        for i in range(0, len(rest), 20_000):
-            part = rest[i : i + 20_000]
-            known.update(zip(part, self._ids([w[1:] if w[0] == "\r" else w if w[0] == "\n" else " " + w for w in part]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
-        whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True)) if odd else {}
-        split = [("\r" + t.replace("\n", " \n")).split(" ") if t and i not in whole else [] for i, t in enumerate(texts)]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [np.frombuffer(whole[i] if i in whole else b"".join(map(get, s)), self.dtype) for i, s in enumerate(split)]
+                if (p if p[:1] != "\u0120" else p[1:]).isascii() and p.isprintable():
+                    letters = p
+                elif p[:1] == "\u0120":
+                    letters = "\u0120" + p[1:].encode().decode("latin-1").translate(_BYTE_LETTERS)
+                else:
+                    letters = p.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = known[p] = array(code, [t.id for t in merge(letters)]).tobytes()
+            keep(ids)
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; how many each text has); texts are strings, not null."""
+        width = np.dtype(self.dtype).itemsize
+        if not self.direct:
+            found = self._library(texts.to_pylist())
+            return np.frombuffer(b"".join(found), self.dtype), np.array([len(f) for f in found], np.int64) // width
+        whole = pc.match_substring_regex(texts, _ODD)
+        for token in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        split = pc.split_pattern(pc.replace_substring_regex(pc.if_else(whole, "", texts), _PART, "\\0\0"), "\0")
+        coded = split.flatten().dictionary_encode()
+        names = pc.replace_substring(coded.dictionary, " ", "\u0120")
+        ids = self._parts(pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), "\0")[0].as_py().split("\0") if len(names) else [])
+        size = np.array([len(x) for x in ids], np.int32) // width
+        flat, start = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size, dtype=np.int32) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n, dtype=np.int64)
+        out = flat[np.repeat((start[which] - ends + n).astype(np.int32), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
+        counts = np.diff(bounds)
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if len(odd):
+            pieces, at = [], 0
+            for i, found in zip(odd.tolist(), self._library(texts.take(pa.array(odd)).to_pylist()), strict=True):
+                own = np.frombuffer(found, self.dtype)
+                pieces += [out[at : bounds[i]], own]
+                at, counts[i] = bounds[i + 1], len(own)
+            out = np.concatenate([*pieces, out[at:]])
+        return out, counts
 
 
 def encoder(path: str) -> Encoder:
@@ -109,22 +150,30 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def cuts(ids: np.ndarray, average: int = 1024, window: int = 16) -> list[int]:
-    """Ends of the chunks of one id stream."""
+def cut_marks(ids: np.ndarray, average: int = 1024, window: int = 16) -> np.ndarray:
+    """Ends of the windows of ids whose rolling hash is divisible by average."""
+    found, step = [np.zeros(0, np.int64)], 1 << 19
+    for a in range(0, len(ids) - window + 1, step):
+        found.append(np.flatnonzero(rolling(ids[a : a + step + window - 1].astype(np.uint64), window) % np.uint64(average) == 0) + (window + a))
+    return np.concatenate(found)
+
+
+def cuts(n: int, marks: list[int], average: int = 1024) -> list[int]:
+    """Ends of the chunks of a stream of n ids with these marks."""
     least, most = max(1, average // 8), average * 8
     ends, at = [], 0
-    for c in (np.flatnonzero(rolling(ids.astype(np.uint64), window) % np.uint64(average) == 0) + window).tolist():
+    for c in marks:
         while c - at > most:
             at += most
             ends.append(at)
         if c - at >= least:
             ends.append(c)
             at = c
-    while len(ids) - at > most:
+    while n - at > most:
         at += most
         ends.append(at)
-    if at < len(ids):
-        ends.append(len(ids))
+    if at < n:
+        ends.append(n)
     return ends
 
 
@@ -175,7 +224,7 @@ def join_crcs(crcs: list[list[int]], sizes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, average: int = 1024, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, average: int = 1024, window: int = 16, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Encodes docs and writes a new store under path."""
     spark = docs.sparkSession
 
@@ -183,22 +232,27 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ave
         enc, task, row = encoder(tokenizer), TaskContext.get().partitionId(), 0
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([t or "" for t in texts]):
+            every = pc.fill_null(batch.column(1).cast(pa.string()), "")
+            for a, b in text_slices(every, SLICE):
                 chunks: dict[bytes, tuple[int, bytes]] = {}
                 recipes = []
-                for doc, stream in zip(ids[a:b], enc.encode([t or "" for t in texts[a:b]]), strict=True):
-                    stream = np.append(stream, np.array([end_id], stream.dtype))
-                    names, at = [], 0
-                    for to in cuts(stream, average):
-                        part = stream[at:to]
-                        name = hashlib.sha256(part.astype("<u4").tobytes()).digest()
+                found, counts = enc.encode(every.slice(a, b - a))
+                stream = np.insert(found, np.cumsum(counts), np.array(end_id, found.dtype))
+                ends = np.cumsum(counts + 1)
+                wide, marks = stream.astype("<u4"), cut_marks(stream, average, window)
+                own = np.searchsorted(marks, np.concatenate([[0], ends]), "right")
+                first = np.searchsorted(marks, ends - counts - 1 + window)  # windows that lie within the document
+                for i, doc in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
+                    to, begin = int(ends[i]), int(ends[i] - counts[i] - 1)
+                    names, at = [], begin
+                    for c in cuts(to - begin, (marks[first[i] : own[i + 1]] - begin).tolist(), average):
+                        name = hashlib.sha256(wide[at : begin + c].data).digest()
                         if name not in chunks:
-                            chunks[name] = (to - at, squeeze.compress(part.tobytes()))
+                            chunks[name] = (begin + c - at, squeeze.compress(stream[at : begin + c].data))
                         names.append(name)
-                        at = to
+                        at = begin + c
                     row += 1
-                    recipes.append((doc, f"{task:012d}:{row:012d}".encode(), len(stream), merkle(names), b"".join(names)))
+                    recipes.append((doc, f"{task:012d}:{row:012d}".encode(), to - begin, merkle(names), b"".join(names)))
                 n, m = len(chunks), len(recipes)
                 yield pa.record_batch(
                     [
@@ -211,6 +265,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ave
                     ],
                     ["kind", "hash", "doc_id", "n", "root", "payload"],
                 )
+        release()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
     rows = own.mapInArrow(run, "kind string, hash binary, doc_id bigint, n bigint, root binary, payload binary")
