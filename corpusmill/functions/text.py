@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: a word.
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -63,13 +64,19 @@ def length_bin(n: str | Column) -> Column:
     return F.when(n < 40, None).when(n <= 40, 40).when(n <= 80, 80).when(n <= 160, 160).when(n <= 320, 320).when(n <= 640, 640).cast("int")
 
 
+# What counts as a link and as an e-mail address, and where sentences end.
+PLAIN_LINK = r"https?://\S+"
+ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+SENTENCE_END = r"(?<=[.!?])\s+|\n\s*\n"
+
+
 def redact(c: str | Column) -> Column:
     """Links become [URL], e-mail addresses [EMAIL]."""
-    return F.regexp_replace(F.regexp_replace(col(c), r"https?://\S+", "[URL]"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
+    return F.regexp_replace(F.regexp_replace(col(c), PLAIN_LINK, "[URL]"), ADDRESS, "[EMAIL]")
 
 
 def sentences(c: str | Column) -> Column:
-    parts = F.split(col(c), r"(?<=[.!?])\s+|\n\s*\n")
+    parts = F.split(col(c), SENTENCE_END)
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -78,11 +85,39 @@ def word_prefix(c: str | Column, k: int) -> Column:
     return F.regexp_extract(col(c), rf"^\s*((?:\S+\s+){{0,{k - 1}}}\S+)", 1)
 
 
+#: Fixed value: openings of a first line that announces the answer.
+OPENINGS = r"^[*# ]*(?:Sure|Here|Abstract|Title|I'm happy to help|Certainly)"
+
+
 def strip_preamble(c: str | Column) -> Column:
-    """What follows a closing think tag, without a first paragraph that announces the answer; lower case, squashed."""
-    after = F.substring_index(col(c), "</think>", -1)
-    meta = r"(?is)^\s*(?:sure|certainly|of course|here is|here's)\b[^\n]*\n\s*\n"
-    return squash(F.lower(F.regexp_replace(after, meta, "")))
+    """What follows the first closing think tag, without a first line that announces the answer if others follow; lower case, squashed."""
+    c = col(c)
+    after = F.when(F.contains(c, F.lit("</think>")), F.trim(F.split(c, "</think>", 2)[1])).otherwise(c)
+    lines = F.filter(F.split(after, "\n"), lambda x: x.rlike(r"\S"))
+    rest = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
+    return squash(F.lower(F.when((F.size(lines) > 1) & lines[0].rlike(OPENINGS), rest).otherwise(after)))
+
+
+#: Fixed value: section labels that an abstract loses (an introduction's label stays).
+LABELS = "abstract|background|methods?|results?|conclusions?"
+
+
+def drop_labels(c: str | Column) -> Column:
+    """Without section labels, plain or bold, white space squashed, no spaces or hyphens at the ends."""
+    plain = F.regexp_replace(col(c), rf"(?i)\*\*\s*(?:{LABELS})\s*\*\*\s*[:\-]?", "")
+    return F.regexp_replace(squash(F.regexp_replace(plain, rf"(?i)\b(?:{LABELS})\s*:\s*", "")), r"^[ \-]+|[ \-]+$", "")
+
+
+def clean_generated(c: str | Column) -> Column:
+    """A generated abstract without its first title line and section labels."""
+    text, line = F.trim(col(c)), r"(?im)^\s*(?:\*\*)?title\s*[:\-][^\n]*\n?"
+    at, n = F.regexp_instr(text, F.lit(line)), F.length(F.regexp_extract(text, line, 0))
+    return drop_labels(F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + n, F.length(text)))).otherwise(text))
+
+
+def split_fold_key(c: str | Column) -> Column:
+    """Key of the text with white space squashed first and case folded then."""
+    return F.sha2(casefold(squash(c)), 256)
 
 
 def canonical_url(c: str | Column) -> Column:
@@ -92,11 +127,11 @@ def canonical_url(c: str | Column) -> Column:
     return F.concat(F.lit("https://"), host, path)
 
 
-def trim_tail(c: str | Column, least: int = 300) -> Column:
-    """A text without terminal punctuation is cut at its last full stop if `least` characters remain."""
-    c = F.rtrim(col(c))
+def trim_tail(c: str | Column, most: int = 300) -> Column:
+    """A text that ends in no punctuation or closing quote loses what follows its last full stop, if that is at most `most` characters with the stop."""
+    c = F.regexp_replace(col(c), r"^\s+|\s+$", "")
     cut = F.regexp_extract(c, r"(?s)^(.*[.!?])", 1)
-    return F.when(c.rlike(r"[.!?]$"), c).when(F.length(cut) >= least, cut).otherwise(c)
+    return F.when(c.rlike('[.!?\u201d"]$'), c).when((F.length(cut) > 1) & (F.length(c) - F.length(cut) + 1 <= most), cut).otherwise(c)
 
 
 def drop_heading(c: str | Column) -> Column:
@@ -131,12 +166,29 @@ def first_family(c: str | Column, table: list[tuple[str, str]], default: str = "
     return out.otherwise(default)
 
 
+# What the vocabulary model's tokenizer takes for a link, a tag, a word and a numbered advisory.
+LINK = r"https?://[^\s<>\"'`)\]}]+"
+TAG = "<[a-z/!][^<>]*>"
+VOCABULARY_WORD = "[a-z0-9_/-]*[a-z][a-z0-9_/-]*"
+ADVISORY = r"^snyk-.+-\d{4,}$"
+
+
 def vocabulary_tokens(c: str | Column) -> Column:
-    """Link hosts as [name-host], dashes as tokens of their own, tags out, lower-case words with a letter."""
-    t = F.regexp_replace(F.lower(col(c)), r"<[^>]*>", " ")
-    t = F.regexp_replace(t, r"https?://(?:www\.)?([a-z0-9.-]+)\S*", " [$1] ")
-    t = F.regexp_replace(t, "—", " [dash] ")
-    return F.regexp_extract_all(t, F.lit(r"(\[[a-z0-9.-]+\]|[a-z0-9_/-]*[a-z][a-z0-9_/-]*)"), F.lit(1))
+    """Links as [name-url] by the label before the last of their host, then dashes, then the words of the rest without tags; ids of advisories are masked."""
+    t = F.lower(col(c))
+
+    def link(u: Column) -> Column:
+        host = F.split(F.element_at(F.split(F.split(F.split(u, "//", 2)[1], "/", 2)[0], "@"), -1), ":")[0]
+        labels = F.filter(F.split(host, r"\."), lambda x: (x != "") & (x != "www"))
+        name = F.when(F.size(labels) >= 2, F.try_element_at(labels, F.lit(-2))).when(F.size(labels) == 1, F.try_element_at(labels, F.lit(1))).otherwise("link")
+        return F.concat(F.lit("["), name, F.lit("-url]"))
+
+    links = F.transform(F.regexp_extract_all(t, F.lit(f"({LINK})"), F.lit(1)), link)
+    dashes = F.array_repeat(F.lit("—"), F.regexp_count(t, F.lit("—")).cast("int"))
+    rest = F.regexp_replace(F.regexp_replace(t, LINK, " "), TAG, " ")
+    found = F.transform(F.regexp_extract_all(rest, F.lit(f"({VOCABULARY_WORD})"), F.lit(1)), lambda w: F.regexp_replace(F.regexp_replace(w, "^[_/]+|[_/]+$", ""), "-+$", ""))
+    masked = F.transform(F.filter(found, lambda w: w != ""), lambda w: F.when(w.rlike(ADVISORY), F.lit("[snyk-id]")).otherwise(w))
+    return F.concat(links, dashes, masked)
 
 
 def shingles(words_col: Column, width: int) -> Column:

@@ -30,6 +30,20 @@ def missing(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     return inner.join(outer.select(key), key, "left_anti")
 
 
+def alignment(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, verdict) for each key: left_only, right_only, repeated or matched. Both tables fit one to one if all keys are matched."""
+    x = a.groupBy(F.col(key).alias("__a")).agg(F.count("*").alias("__x"))
+    y = b.groupBy(F.col(key).alias("__b")).agg(F.count("*").alias("__y"))
+    j = x.join(y, F.col("__a") == F.col("__b"), "full")
+    verdict = F.when(F.col("__y").isNull(), "left_only").when(F.col("__x").isNull(), "right_only").when((F.col("__x") > 1) | (F.col("__y") > 1), "repeated").otherwise("matched")
+    return j.select(F.coalesce("__a", "__b").alias(key), verdict.alias("verdict"))
+
+
+def row_sum(df: DataFrame) -> Column:
+    """An order-free hash of all rows: the sum of their hashes, so repeated rows count."""
+    return F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))
+
+
 def manifest(df: DataFrame, by: list[str], key: str) -> DataFrame:
     """Row count and order-free content hash for each group."""
-    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("content"))
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"), row_sum(df).alias("content"))

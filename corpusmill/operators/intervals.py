@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,21 +47,40 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
     return a.unionByName(b).withColumn(out, F.last("__v", ignorenulls=True).over(w)).filter("__side = 1").select("__row.*", out)
 
 
-def pack_chunks(parts: Column, sizes: Column, most: int, least: int) -> Column:
-    """Parts joined into chunks: a chunk is closed when the next part would lift it over `most`; chunks under `least` are dropped.
+def pack_chunks(parts: Column, sizes: Column, most: int, least: int, longest: int | None = None, keep_short: bool = False, between: str = "\n") -> Column:
+    """Parts joined into chunks of struct<text, n>: a chunk is closed when the next part would lift it over `most`; chunks under `least` are dropped.
 
-    An array fold, so nothing is shuffled. Parts and sizes are arrays of equal length.
+    Parts longer than `longest` are left out. With keep_short, a chunk under `least` isn't closed but takes the next part too,
+    and chunks that grew over `longest` so are dropped. An array fold, so nothing is shuffled. Parts and sizes are arrays of equal length.
     """
     pairs = F.arrays_zip(parts.alias("p"), sizes.alias("n"))
+    if longest is not None:
+        pairs = F.filter(pairs, lambda x: x["n"] <= longest)
     empty = F.struct(F.array().cast("array<struct<text:string,n:int>>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n"))
 
     def close(acc: Column) -> Column:
-        return F.when(acc["n"] >= least, F.concat(acc["done"], F.array(F.struct(acc["text"].alias("text"), acc["n"].alias("n"))))).otherwise(acc["done"])
+        fits = acc["n"] >= least
+        if keep_short and longest is not None:
+            fits &= acc["n"] <= longest
+        return F.when(fits, F.concat(acc["done"], F.array(F.struct(acc["text"].alias("text"), acc["n"].alias("n"))))).otherwise(acc["done"])
 
     def step(acc: Column, x: Column) -> Column:
-        over = (acc["n"] > 0) & (acc["n"] + x["n"] > most)
+        over = (acc["n"] >= (max(least, 1) if keep_short else 1)) & (acc["n"] + x["n"] > most)
         return F.when(over, F.struct(close(acc).alias("done"), x["p"].alias("text"), x["n"].alias("n"))).otherwise(
-            F.struct(acc["done"].alias("done"), F.when(acc["n"] == 0, x["p"]).otherwise(F.concat(acc["text"], F.lit("\n"), x["p"])).alias("text"), (acc["n"] + x["n"]).alias("n"))
+            F.struct(acc["done"].alias("done"), F.when(acc["n"] == 0, x["p"]).otherwise(F.concat(acc["text"], F.lit(between), x["p"])).alias("text"), (acc["n"] + x["n"]).alias("n"))
         )
 
     return F.aggregate(pairs, empty, step, close)
+
+
+def sections(df: DataFrame, by: str, place: str, start: list[str] | None = None, stop: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
+    """df (by, place, tag, text) without its heading rows, plus `heading`: rows behind the first heading that begins like one of
+    `start` (or from the beginning) and before the first that begins like one of `stop`, except under headings that begin like one of `skip`."""
+    head = F.when(F.col("tag").rlike("^h[1-6]$"), F.col("text"))
+    like = lambda names: F.coalesce(reduce(lambda a, b: a | b, [head.startswith(n) for n in names]), F.lit(False)) if names else F.lit(False)
+    w = Window.partitionBy(by).orderBy(place)
+    seen = lambda names: F.max(like(names).cast("int")).over(w) == 1
+    d = df.withColumns({"heading": F.last(head, ignorenulls=True).over(w), "__on": seen(start) if start else F.lit(True), "__off": seen(stop)})
+    if skip:
+        d = d.filter(~F.coalesce(reduce(lambda a, b: a | b, [F.col("heading").startswith(n) for n in skip]), F.lit(False)))
+    return d.filter(F.col("__on") & ~F.col("__off") & head.isNull()).drop("__on", "__off")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from corpusmill.operators.ranking import running_totals
 
 
-
 def _ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
@@ -115,3 +114,40 @@ def multiclass(df: DataFrame) -> DataFrame:
         F.round(F.avg(_ratio(F.col("tp"), F.col("support"))), 9).alias("balanced"),
         F.round(F.avg(_ratio(2 * F.col("tp"), F.col("support") + F.col("called"))), 9).alias("macro_f1"),
     )
+
+
+def recall_at_fpr(df: DataFrame, target: float) -> DataFrame:
+    """(interpolated, at_or_below): recall at a false-positive rate, on the line between the curve's points around it, and at the last point that doesn't pass it."""
+    p = _points(df)
+    last = p.filter(F.col("fpr") <= target).agg(F.max(F.struct("fpr", "tpr")).alias("a"))
+    after = p.filter(F.col("fpr") > target).agg(F.min(F.struct("fpr", "tpr")).alias("b"))
+    j = last.crossJoin(F.broadcast(after))  # one row on each side
+    x0, y0 = F.coalesce("a.fpr", F.lit(0.0)), F.coalesce("a.tpr", F.lit(0.0))
+    line = y0 + (F.lit(target) - x0) * (F.col("b.tpr") - y0) / (F.col("b.fpr") - x0)
+    return j.select(F.round(F.coalesce(line, y0), 9).alias("interpolated"), F.round(y0, 9).alias("at_or_below"))
+
+
+def class_gap(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, cut): the midpoint between the highest negative and the lowest positive score; null where the classes overlap or one is missing."""
+    g = df.groupBy(*by).agg(F.max(F.when(F.col("label") == 0, F.col("score"))).alias("__n"), F.min(F.when(F.col("label") == 1, F.col("score"))).alias("__p"))
+    return g.select(*by, F.round(F.when(F.col("__n") < F.col("__p"), (F.col("__n") + F.col("__p")) / 2), 9).alias("cut"))
+
+
+def confusion_matrix(df: DataFrame) -> DataFrame:
+    """(label, predicted, n) for each pair of labels that occurs, and each label's recall."""
+    c = df.groupBy("label", "predicted").agg(F.count("*").alias("n"))
+    whole = c.groupBy("label").agg(F.sum("n").alias("__s"), F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("__tp"))
+    return c.join(whole, "label").select("label", "predicted", "n", F.round(_ratio(F.col("__tp"), F.col("__s")), 9).alias("recall"))
+
+
+def top_k(df: DataFrame, k: int) -> DataFrame:
+    """(n, top) of rows (id, label, scores: array<struct<name, score>>): the share whose label is among the k highest scores, ties to the later name. Nothing is shuffled but counts."""
+    best = F.slice(F.array_sort(F.transform("scores", lambda x: F.struct((-x["score"]).alias("score"), x["name"].alias("name"))), lambda a, b: F.when(a["score"] < b["score"], -1).when(a["score"] > b["score"], 1).when(a["name"] > b["name"], -1).when(a["name"] < b["name"], 1).otherwise(0)), 1, k)
+    hit = F.exists(best, lambda x: x["name"] == F.col("label"))
+    return df.agg(F.count("*").alias("n"), F.round(_ratio(F.count_if(hit), F.count("*")), 9).alias("top"))
+
+
+def selection_score(df: DataFrame, max_fpr: float = 0.05) -> DataFrame:
+    """(score): 0.7 of the standardised partial area and 0.3 of the whole."""
+    both = partial_auc(df, max_fpr).crossJoin(F.broadcast(roc_auc(df)))  # one row on each side
+    return both.select(F.round(0.7 * F.col("pauc") + 0.3 * F.col("auc"), 9).alias("score"))

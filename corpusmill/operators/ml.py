@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from corpusmill.functions.text import casefold, tokens
+from corpusmill.session import new_folder
 
 
 def char_ngrams(text: str | Column, low: int = 3, high: int = 5) -> Column:
@@ -25,7 +27,10 @@ def word_ngrams(text: str | Column) -> Column:
 
 
 def tfidf_vectors(train: DataFrame, rows: DataFrame, id_col: str, grams: Column, min_df: int = 3, most: int = 200_000) -> DataFrame:
-    """(id, features): sublinear TF times smoothed IDF, length one. The vocabulary, at most `most` terms, and the IDF come from train."""
+    """(id, features): sublinear TF times smoothed IDF, length one, written to the shared folder.
+
+    The vocabulary, the `most` terms that occur most often in train (a parameter of the model), and the IDF come from train.
+    """
     terms = lambda df: df.select(id_col, F.explode(grams).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     n = train.agg(F.count("*").alias("n"))
     df = terms(train).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).filter(F.col("df") >= min_df).orderBy(F.col("all").desc(), "term").limit(most)
@@ -34,12 +39,13 @@ def tfidf_vectors(train: DataFrame, rows: DataFrame, id_col: str, grams: Column,
     size = at.count()
     w = terms(rows).join(F.broadcast(at), "term").select(id_col, "at", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
     packed = w.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-    @F.udf(VectorUDT())
-    def vector(x: list, norm: float) -> SparseVector:
-        return SparseVector(size, [(r["at"], r["w"] / norm) for r in x or []])
-
-    return rows.select(id_col).join(packed, id_col, "left").select(id_col, vector("x", "norm").alias("features"))
+    full = rows.select(id_col).join(packed, id_col, "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<at:int,w:double>>")))
+    # the fields that a sparse vector is stored as; read back, the column is one, and no row passes through Python
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform("x", lambda e: e["at"].cast("int")).alias("indices"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("values"))
+    path = new_folder(rows.sparkSession, "tfidf")
+    full.select(id_col, parts.alias("features")).write.parquet(path)
+    schema = StructType([rows.schema[id_col], StructField("features", VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def logistic(train: DataFrame, c: float = 4.0, rounds: int = 100):

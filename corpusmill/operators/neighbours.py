@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialize
+
 
 def nearest_vectors(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, block: int = 4096) -> DataFrame:
     """(query_id, id, cosine): the base row nearest to each query, itself left out; the smallest id at a tie.
@@ -51,6 +53,9 @@ def nearest_vectors(queries: DataFrame, base: DataFrame, id_col: str, vec_col: s
 
         return b.mapInArrow(run, "query_id bigint, id bigint, cosine double")
 
-    parts = [search(q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()) for k in range(blocks)]
+    parts = []
+    for k in range(blocks):  # of several blocks, the driver holds one at a time
+        found = search(q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect())
+        parts.append(found if blocks == 1 else materialize(found, "neighbours"))
     hits = reduce(DataFrame.unionByName, parts).groupBy("query_id").agg(F.max(F.struct("cosine", (-F.col("id")).alias("neg"))).alias("x"))
     return hits.select("query_id", (-F.col("x.neg")).alias(id_col), F.col("x.cosine").alias("cosine"))

@@ -1,9 +1,12 @@
 """Shingle fingerprints: contamination screens, overlap edges and cosine neighbours, all as equi-joins on postings.
 
-A fingerprint that many texts share would pair all of them. Edges between texts
-therefore go through classes: texts with equal fingerprint sets are one, and
-postings longer than `frequent` are set aside in the candidate step only where the
-other postings suffice to find every pair over the threshold (prefix filtering).
+Rows with equal fingerprint sets form a class; only the row with the smallest id
+stands for it, so a group of copies is one set and pairs nothing with itself.
+Pairs between classes are found by prefix filtering: fingerprints are ordered by
+how many classes hold them, and a pair over the threshold shares one of the rarest
+of each set, so frequent fingerprints are joined only where a set has no others.
+Candidates are verified on the sets themselves. No step is a window over a
+fingerprint: its classes are counted by partial aggregates.
 """
 
 from __future__ import annotations
@@ -11,9 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import shingles, tokens
+from corpusmill.functions.text import shingles, token_key, tokens
 from corpusmill.session import materialize
 
+#: Fingerprints of protected texts that are broadcast (8 bytes and an id each); more are joined by shuffle.
+HELD = 4_000_000
+
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str = "text", width: int = 24, sampled: bool = False) -> DataFrame:
     """(id, h): distinct MD5 shingles; sampled keeps those whose first byte is below 16, one in sixteen."""
@@ -21,43 +27,80 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str = "text", width: int
     return d.filter(F.col("h") < "10") if sampled else d
 
 
-def contamination(docs: DataFrame, protected: DataFrame, id_col: str, ref_col: str, width: int = 24, sampled: bool = False) -> DataFrame:
-    """(id, ref, hits): documents that share fingerprints with protected texts."""
-    a, b = fingerprints(docs, id_col, width=width, sampled=sampled), fingerprints(protected, ref_col, width=width, sampled=sampled)
-    return a.join(b, "h").groupBy(id_col, ref_col).agg(F.count("*").alias("hits"))
+def runs_of(words: str, width: int) -> Column:
+    """Distinct 64-bit hashes of the runs of `width` words of an array column; none for shorter ones."""
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(width))))
+    return F.when(n >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
-def overlap_pairs(prints: DataFrame, id_col: str, measure: str, threshold: float, least_shared: int = 1, least_size: int = 1) -> DataFrame:
-    """(a, b, common, size_a, size_b) with a < b and common / measure(size_a, size_b) >= threshold; measure is min, max or union.
+def shingle_sets(df: DataFrame, id_col: str, width: int, text_col: str = "text") -> DataFrame:
+    """(id, hs): the hashes of a text's runs of words.
 
-    Sizes are counted first. For max and union a pair must share a fingerprint among the
-    rarest size - ceil(threshold * size) + 1 of each, so only those prefixes are joined.
-    For min (containment) the smaller set's prefix is joined to the other's whole set.
+    Filters on hs should stand behind an aggregate or an outer explode: Catalyst would push them below the
+    projection of the words, and so work the words out again for each run.
     """
-    sized = prints.withColumns({"__n": F.count("*").over(Window.partitionBy(id_col)), "__df": F.count("*").over(Window.partitionBy("h"))})
-    sized = sized.withColumn("__at", F.row_number().over(Window.partitionBy(id_col).orderBy("__df", "h")))
-    sized = materialize(sized.filter("__df > 1"), "prints")  # four scans below; a fingerprint of one row pairs nothing, but counts in __n
-    head = sized.filter(F.col("__at") <= F.col("__n") - F.ceil(F.col("__n") * threshold) + 1)
-    left = head.select(F.col(id_col).alias("x"), F.col("__n").alias("nx"), "h")
+    return df.select(id_col, tokens(text_col).alias("__w")).select(id_col, runs_of("__w", width).alias("hs"))
+
+
+def contamination(docs: DataFrame, protected: DataFrame, id_col: str, ref_col: str, width: int = 24, text_col: str = "text") -> DataFrame:
+    """(id, ref, hits): documents that share fingerprints with protected texts. While those are few (counted first), documents aren't shuffled for it."""
+    b = materialize(shingle_sets(protected, ref_col, width, text_col).select(ref_col, F.explode_outer("hs").alias("h")).filter("h IS NOT NULL").distinct(), "protected")
+    a = shingle_sets(docs, id_col, width, text_col).select(id_col, F.explode_outer("hs").alias("h"))
+    few = b.limit(HELD + 1).count() <= HELD
+    return a.join(F.broadcast(b) if few else b, "h").distinct().groupBy(id_col, ref_col).agg(F.count("*").alias("hits"))
+
+
+def set_classes(sets: DataFrame, id_col: str) -> DataFrame:
+    """(id, class_id) of (id, hs): the smallest id with the same set; rows with an empty set are left out."""
+    keyed = sets.select(id_col, F.xxhash64(F.array_sort("hs"), F.size("hs")).alias("__set"), F.size("hs").alias("__n"))
+    least = keyed.groupBy("__set").agg(F.min(id_col).alias("class_id"), F.max("__n").alias("__m")).filter("__m > 0").drop("__m")
+    return keyed.join(least, "__set").select(id_col, "class_id")
+
+
+def overlap_pairs(sets: DataFrame, id_col: str, measure: str, threshold: float, least_shared: int = 1, least_size: int = 1) -> DataFrame:
+    """(a, b, common, size_a, size_b) of (id, hs), with a < b and common / measure(size_a, size_b) >= threshold, between the rows that stand for
+    their class (see set_classes); measure is min, max or union.
+
+    For max and union a pair shares a fingerprint among the rarest size - least + 1 of each, where least is what it has to share;
+    for min (containment) the smaller set's rarest meet the other's whole set.
+    """
+    keyed = sets.select(F.col(id_col).alias("id"), "hs", F.xxhash64(F.array_sort("hs"), F.size("hs")).alias("__set"))
+    one = keyed.groupBy("__set").agg(F.min(F.struct("id", "hs")).alias("x")).filter(F.size("x.hs") >= max(1, least_size))
+    reps = materialize(one.select("x.id", F.size("x.hs").alias("n"), "x.hs"), "classes")
+    each = reps.select("id", "n", F.explode("hs").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")  # what one class holds pairs nothing, but counts in n
+    kept = each.join(shared, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
+    kept = materialize(kept.select("id", "n", F.transform("x", lambda e: e["h"]).alias("hs")), "shared")
+    need = F.greatest(F.ceil(F.col("n") * threshold - 1e-9), F.lit(least_shared))
+    first = F.greatest(F.size("hs") - need + 1, F.lit(0)).cast("int")  # those of one class alone are the rarest, and gone already
+    head = kept.select("id", "n", F.explode(F.slice("hs", F.lit(1), first)).alias("h"))
+    left = head.select(F.col("id").alias("x"), F.col("n").alias("nx"), "h")
     if measure == "min":
-        right = sized.select(F.col(id_col).alias("y"), F.col("__n").alias("ny"), "h")
+        right = kept.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.explode("hs").alias("h"))
         cand = left.join(right, "h").filter((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny")))
     else:
-        right = head.select(F.col(id_col).alias("y"), F.col("__n").alias("ny"), "h")
+        right = head.select(F.col("id").alias("y"), F.col("n").alias("ny"), "h")
         cand = left.join(right, "h").filter((F.col("x") < F.col("y")) & (F.col("nx") * threshold <= F.col("ny")) & (F.col("ny") * threshold <= F.col("nx")))
-    pairs = cand.filter((F.col("nx") >= least_size) & (F.col("ny") >= least_size)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sets = sized.select(F.col(id_col).alias("id"), "h", "__n")
-    common = pairs.join(sets.select(F.col("id").alias("a"), "h", F.col("__n").alias("size_a")), "a").join(sets.select(F.col("id").alias("b"), "h", F.col("__n").alias("size_b")), ["b", "h"])
-    counted = common.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("common"))
+    pairs = cand.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda k: kept.select(F.col("id").alias(k), F.col("n").alias(f"size_{k}"), F.col("hs").alias(f"__{k}"))
+    common = F.size(F.array_intersect("__a", "__b")).cast("long")
+    counted = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), F.col("size_a").cast("long").alias("size_a"), F.col("size_b").cast("long").alias("size_b"))
     base = {"min": F.least("size_a", "size_b"), "max": F.greatest("size_a", "size_b"), "union": F.col("size_a") + F.col("size_b") - F.col("common")}[measure]
-    return counted.filter((F.col("common") >= least_shared) & (F.col("common") >= base * threshold)).select("a", "b", "common", "size_a", "size_b")
+    return counted.filter((F.col("common") >= least_shared) & (F.col("common") >= base * threshold))
 
 
-def tfidf(df: DataFrame, id_col: str, terms: Column, n_docs: DataFrame, min_df: int = 1) -> DataFrame:
-    """(id, term, w): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each row's weights scaled to length one."""
+def term_weights(df: DataFrame, id_col: str, terms: Column, min_df: int = 1, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((id, term, tf), (term, idf)): counts of terms, and ln((1 + n) / (1 + df)) + 1 of those in min_df rows; of more than `most`, those that occur most often."""
+    n = df.agg(F.count("*").alias("n"))
     tf = df.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df).crossJoin(F.broadcast(n_docs))  # one row on the right
-    idf = idf.select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).filter(F.col("df") >= min_df)
+    idf = idf.orderBy(F.col("all").desc(), "term").limit(most) if most else idf
+    return tf, idf.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row on the right
+
+
+def unit_weights(tf: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, w): (1 + ln tf) * idf, each row's weights scaled to length one."""
     w = tf.join(idf, "term").select(id_col, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
     return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("__norm")).alias("w"))
@@ -76,3 +119,19 @@ def screen_in_order(prints: DataFrame, id_col: str, order: Column) -> DataFrame:
     least = first.groupBy("h").agg(F.min(F.struct("__o", id_col)).alias("f"))
     lost = first.join(least, "h").filter(F.col(f"f.{id_col}") != F.col(id_col)).select(id_col).distinct()
     return prints.select(id_col).distinct().join(lost, id_col, "left_anti")
+
+
+def intake(candidates: DataFrame, references: DataFrame, id_col: str, group_col: str, name_col: str, text_col: str = "text", evidence: int = 20) -> DataFrame:
+    """(name, n_rows, n_exact, n_phrase, n_groups, first_ids) for each named reference: candidates with the same words as one of its texts or with a
+    shared sampled 24-word phrase, how many groups they belong to, and the smallest ids as evidence. A hit calls for a look, no hit proves nothing."""
+    exact = references.select(name_col, token_key(text_col).alias("__key")).distinct()
+    phrase = fingerprints(references, name_col, text_col, sampled=True).distinct()
+    own = candidates.select(id_col, group_col, token_key(text_col).alias("__key"))
+    e = own.join(exact, "__key").select(name_col, id_col, group_col, F.lit(1).alias("exact"), F.lit(0).alias("phrase"))
+    hit = fingerprints(candidates, id_col, text_col, sampled=True).join(phrase, "h").select(name_col, id_col).distinct()
+    p = hit.join(candidates.select(id_col, group_col), id_col).select(name_col, id_col, group_col, F.lit(0).alias("exact"), F.lit(1).alias("phrase"))
+    rows = e.unionByName(p).groupBy(name_col, id_col, group_col).agg(F.max("exact").alias("exact"), F.max("phrase").alias("phrase"))
+    first = rows.withColumn("__at", F.row_number().over(Window.partitionBy(name_col).orderBy(id_col))).filter(F.col("__at") <= evidence)  # limited before the shuffle
+    ids = first.groupBy(name_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string")), ",").alias("first_ids"))
+    counts = rows.groupBy(name_col).agg(F.count("*").alias("n_rows"), F.sum("exact").alias("n_exact"), F.sum("phrase").alias("n_phrase"), F.count_distinct(group_col).alias("n_groups"))
+    return counts.join(ids, name_col)

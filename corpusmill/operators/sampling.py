@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import salted
-from corpusmill.operators.ranking import hash_rank
-from corpusmill.session import materialize
+from corpusmill.operators.ranking import hash_rank, hash_totals, value_rank
+from corpusmill.session import discard, materialize
 
 
 def group_rank(df: DataFrame, by: list[str], order: list[Column | str], out: str = "rank") -> DataFrame:
@@ -57,10 +57,10 @@ def hash_bucket(key: Column, n: int, digits: int = 8) -> Column:
     return (F.conv(F.substring(key, 1, digits), 16, 10).cast("long") % n).cast("int")
 
 
-def fraction_split(df: DataFrame, by: list[str], order: list[Column | str], cuts: dict[str, float]) -> DataFrame:
-    """`split` by cumulated fractions of each group's rows in order: row i of n goes to the first cut c with i <= floor(c * n)."""
-    w = Window.partitionBy(*by)
-    d = df.withColumns({"__rn": F.row_number().over(w.orderBy(*order)), "__n": F.count("*").over(w)})
+def fraction_split(df: DataFrame, by: list[str], key: Column, tie: list[str], cuts: dict[str, float]) -> DataFrame:
+    """`split` by cumulated fractions of each group's rows in the order of a hash: row i of n goes to the first cut c with i <= floor(c * n)."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    d = hash_rank(df, key, tie, "__rn", by).join(sizes, by)
     out = F.when(F.lit(False), F.lit(""))
     for name, cut in cuts.items():
         out = out.when(F.col("__rn") <= F.floor(F.col("__n") * cut), name)
@@ -84,6 +84,37 @@ def quota_largest_remainder(total: int, shares: dict[str, float]) -> dict[str, i
     return out
 
 
+def quotas_largest_remainder(counts: DataFrame, name: str, count: str, total: int) -> DataFrame:
+    """(name, quota) of `total` by the counts of categories, however many: floors, and what is left to the largest fractions, ties to the later name."""
+    whole = counts.agg(F.sum(count).alias("__all"))
+    raw = F.lit(float(total)).cast("double") * F.col(count) / F.col("__all")
+    d = counts.crossJoin(F.broadcast(whole)).select(name, F.floor(raw).alias("__floor"), (raw - F.floor(raw)).alias("__rest"))  # one row on the right
+    left = total - (d.agg(F.sum("__floor")).first()[0] or 0)
+    more = d.orderBy(F.col("__rest").desc(), F.col(name).desc()).limit(int(left)).select(name, F.lit(1).alias("__more"))
+    return d.join(more, name, "left").select(name, (F.col("__floor") + F.coalesce("__more", F.lit(0))).alias("quota"))
+
+
+def take_groups(df: DataFrame, group: str, salt: str, target: int, slack: int) -> DataFrame:
+    """(group, n): whole groups in hash order, each taken if the total stays within target + slack, until the target is reached.
+
+    A group that is too large is passed over. Each round takes the groups up to the next one that doesn't fit, and drops
+    all that can't fit any more: the room only shrinks, so they never will. Four numbers a round come to the driver.
+    """
+    left = materialize(df.groupBy(group).agg(F.count("*").alias("n")), "groups")
+    taken, have = left.filter("false").select(group, "n"), 0
+    while have < target:
+        room = target + slack - have
+        left = materialize(hash_totals(left.filter(F.col("n") <= room).drop("__before"), salted(salt, group), [group], "n", "__before"), "groups")
+        over = left.filter((F.col("__before") + F.col("n") > room) & (F.col("__before") < target - have)).agg(F.min("__before").alias("b")).first().b
+        fits = left.filter(F.col("__before") < (target - have if over is None else over))
+        got = fits.agg(F.sum("n")).first()[0] or 0
+        taken, have = taken.unionByName(fits.select(group, "n")), have + got
+        if over is None:
+            break
+        left = left.filter(F.col("__before") >= over)
+    return taken
+
+
 def drop_one(shares: dict[str, float]) -> dict[str, dict[str, float]]:
     """Mixtures that each leave out one category and rescale the others."""
     return {f"without_{k}": {n: s / (sum(shares.values()) - shares[k]) for n, s in shares.items() if n != k} for k in shares}
@@ -98,27 +129,26 @@ def feasible_tier(have_a: int, have_b: int, share: float) -> int:
     return 0
 
 
-def dual_cap(df: DataFrame, order: list[str], caps: dict[str, int], max_rounds: int = 60) -> DataFrame:
+def dual_cap(df: DataFrame, order: list[str], caps: dict[str, int]) -> DataFrame:
     """Rows taken greedily in order while none of the cap columns has reached its cap.
 
     Each decision depends on those before it, yet needs no single ordered pass: a
     row is in once fewer than cap rows that may still be in stand before it under
     each of its values, and out once cap rows that are in stand before it under
     one. Rounds of both rules, written to the shared folder, end at the greedy
-    result: the first open row is always decided. `order` must be unique.
+    result: the first open row is always decided, so they do end. `order` must be unique.
     """
     d = materialize(df.withColumn("__state", F.lit(0)), "caps")  # 1: in, -1: out
-    for _ in range(max_rounds):
+    while not d.filter("__state = 0").isEmpty():
         sure, full = F.lit(True), F.lit(False)
         for c, cap in caps.items():
             w = Window.partitionBy(c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
             sure &= F.coalesce(F.sum((F.col("__state") >= 0).cast("int")).over(w), F.lit(0)) < cap
             full |= F.coalesce(F.sum((F.col("__state") == 1).cast("int")).over(w), F.lit(0)) >= cap
         new = F.when(F.col("__state") != 0, F.col("__state")).when(F.col("__full"), -1).when(F.col("__sure"), 1).otherwise(0)
-        d = materialize(d.withColumns({"__sure": sure, "__full": full}).withColumn("__state", new).drop("__sure", "__full"), "caps")
-        if d.filter("__state = 0").isEmpty():
-            return d.filter("__state = 1").drop("__state")
-    raise RuntimeError("caps did not settle")
+        before, d = d, materialize(d.withColumns({"__sure": sure, "__full": full}).withColumn("__state", new).drop("__sure", "__full"), "caps")
+        discard(before)
+    return d.filter("__state = 1").drop("__state")
 
 
 def round_robin(df: DataFrame, source: str, order: list[Column | str], n: int) -> DataFrame:
@@ -136,13 +166,13 @@ def interleave(quotas: dict[str, int]) -> list[str]:
     return out
 
 
-def balanced_assign(demand: DataFrame, supply: DataFrame, by: str, demand_order: list[Column | str], supply_order: list[Column | str]) -> DataFrame:
-    """demand with a supply row each, so that uses of supply rows of a group differ by at most one."""
-    d = group_rank(demand, [by], demand_order, "__i")
-    s = group_rank(supply, [by], supply_order, "__j").withColumn("__m", F.count("*").over(Window.partitionBy(by)))
+def balanced_assign(demand: DataFrame, supply: DataFrame, by: str, demand_order: str, supply_order: str) -> DataFrame:
+    """demand with a supply row each, so that uses of supply rows of a group differ by at most one; the orders are numbers, unique in their tables."""
+    d = value_rank(demand, [by], demand_order, out="__i")
+    s = value_rank(supply, [by], supply_order, out="__j")
     sizes = supply.groupBy(by).agg(F.count("*").alias("__n"))
-    d = d.join(sizes, by).withColumn("__j", ((F.col("__i") - 1) % F.col("__n") + 1).cast("int"))
-    return d.join(s.drop("__m"), [by, "__j"]).drop("__i", "__j", "__n")
+    d = d.join(sizes, by).withColumn("__j", (F.col("__i") - 1) % F.col("__n") + 1)
+    return d.join(s, [by, "__j"]).drop("__i", "__j", "__n")
 
 
 def swap(df: DataFrame, key: str, out_rows: DataFrame, in_rows: DataFrame) -> DataFrame:
@@ -159,5 +189,3 @@ def cap_then_total(df: DataFrame, source: str, salt: str, key: str, cap: int, cu
         end += n
         out = out.when(F.col("rank") <= end, name)
     return ranked.withColumn("split", out.otherwise(None)).filter("split IS NOT NULL")
-
-

@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.functions.text import salted
+from corpusmill.operators.ranking import hash_rank
+
 SPAN = "struct<start:int,end:int,label:int>"
 SPANS = f"array<{SPAN}>"
 MASKED = -100
@@ -98,10 +102,27 @@ def repeat_twice(ids: Column, labels: Column) -> tuple[Column, Column]:
 
 
 def stitch(df: DataFrame, doc: str, start: str, scores: str) -> DataFrame:
-    """(doc, pos, score): the mean of all windows that cover a token; one shuffle by document and position."""
+    """(doc, pos, score): the mean of all windows that cover a token; one shuffle by document and position. For a cache with a row for each window."""
     return df.select(doc, start, F.posexplode(scores).alias("__i", "__s")).groupBy(doc, (F.col(start) + F.col("__i")).alias("pos")).agg(F.round(F.avg("__s"), 9).alias("score"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def stitched(starts: pd.Series, scores: pd.Series) -> pd.Series:
+    """The mean score of each token of a document whose windows are in one row; nothing is shuffled."""
+
+    def one(begin: np.ndarray | None, windows: np.ndarray | None) -> np.ndarray | None:
+        if begin is None or windows is None:
+            return None
+        n = max((int(a) + len(w) for a, w in zip(begin, windows, strict=True)), default=0)
+        total, count = np.zeros(n), np.zeros(n)
+        for a, w in zip(begin, windows, strict=True):
+            total[a : a + len(w)] += w
+            count[a : a + len(w)] += 1
+        return total / np.maximum(count, 1)
+
+    return pd.Series([one(a, b) for a, b in zip(starts, scores, strict=True)], dtype=object)
+
+
 def alarm_spans(scores: Column, offsets: Column, threshold: float) -> Column:
     """Character spans of runs of tokens at or over the threshold; tokens at most one character apart join. Arrow batches, one pass over each array."""
 
@@ -123,3 +144,66 @@ def alarm_spans(scores: Column, offsets: Column, threshold: float) -> Column:
         return pd.Series([one(a, b) for a, b in zip(s, o, strict=True)])
 
     return run(scores, offsets)
+
+
+def tokens_inside(offsets: Column, spans: Column) -> Column:
+    """The tokens that lie wholly within one of the spans."""
+    return F.filter(offsets, lambda o: F.exists(spans, lambda s: (s["start"] <= o["start"]) & (s["end"] >= o["end"])))
+
+
+def matched_start(start: Column, last: Column, other_last: Column) -> Column:
+    """The start in another stream that lies as far along as `start` does: proportional to the last possible starts, half to even."""
+    return F.when(last > 0, F.bround(start.cast("double") / last.cast("double") * other_last)).otherwise(0).cast("long")
+
+
+#: How documents are put together, the words of short and long parts, and what stands between parts.
+CONSTRUCTIONS = ("unaltered_source", "same_label_short_join", "same_label_long_join", "same_source_short_mix", "same_source_long_mix")
+SHORT, LONG = (50, 90, 140), (90, 140, 200)
+SEPARATORS = (" ", "\n\n", "  ")
+
+
+def assembly_plan(parts: DataFrame) -> DataFrame:
+    """(output_id, construction, i, label, source_id, n_words, first_word) from parts (doc_id, source, label, n): an assembled document for each part.
+
+    A document begins with its part's label and takes the following parts of the same source and label in the order of a hash, so uses
+    of a part differ little. Joins hold one label, mixes both: short ones one part of each, long ones switch once, some back at the end.
+    """
+    ranked = hash_rank(parts, salted("assemble:", "doc_id"), ["doc_id"], "rn", ["source", "label"])
+    sizes = parts.groupBy("source", "label").agg(F.count("*").alias("m"))
+    h = F.conv(F.substring(salted("plan:", "doc_id"), 1, 8), 16, 10).cast("long")
+    d = ranked.select(F.col("doc_id").alias("output_id"), "source", F.col("label").alias("first"), F.col("rn").alias("own"), h.alias("h")).withColumn("kind", F.col("h") % 5)
+    five = 5 + F.expr("h div 5") % 3
+    d = d.withColumn("parts", F.when(F.col("kind") == 0, 1).when(F.col("kind") == 1, 2 + F.expr("h div 5") % 2).when(F.col("kind") == 3, 2).otherwise(five))
+    d = d.withColumn("switch", 1 + F.expr("h div 15") % F.greatest(F.col("parts") - 2, F.lit(1))).withColumn("i", F.explode(F.expr("sequence(0, int(parts) - 1)")))
+    other = 1 - F.col("first")
+    back = (F.col("i") == F.col("parts") - 1) & (F.col("parts") >= 6) & (F.expr("h div 105") % 2 == 0)
+    label = F.when(F.col("kind") <= 2, F.col("first")).when(F.col("kind") == 3, F.when(F.col("i") == 0, F.col("first")).otherwise(other)).when((F.col("i") < F.col("switch")) | back, F.col("first")).otherwise(other)
+    d = d.withColumn("label", label).join(sizes, ["source", "label"]).withColumn("rn", (F.col("own") + F.col("i") - 1) % F.col("m") + 1)
+    d = d.join(ranked.select("source", "label", "rn", F.col("doc_id").alias("source_id"), "n"), ["source", "label", "rn"])
+    at = ((F.expr("h div 7") + F.col("i")) % 3 + 1).cast("int")
+    words = F.when(F.col("kind") == 0, F.col("n")).when(F.col("kind").isin(1, 3), F.element_at(F.array(*map(F.lit, SHORT)), at)).otherwise(F.element_at(F.array(*map(F.lit, LONG)), at)).cast("int")
+    name = F.element_at(F.array(*map(F.lit, CONSTRUCTIONS)), (F.col("kind") + 1).cast("int"))
+    d = d.withColumn("n_words", words)
+    return d.select("output_id", name.alias("construction"), "i", "label", "source_id", "n_words", ((F.expr("h div 11") + F.col("i")) % (F.col("n") - F.col("n_words") + 1)).alias("first_word"))
+
+
+def assemble(plan: DataFrame, texts: DataFrame) -> DataFrame:
+    """(output_id, construction, text, spans, components) of a plan: the excerpts, byte for byte, with separators between them."""
+    d = plan.join(texts.select(F.col("doc_id").alias("source_id"), "text"), "source_id").withColumn("o", word_offsets("text"))
+    a = F.element_at("o", (F.col("first_word") + 1).cast("int"))["start"]
+    b = F.element_at("o", (F.col("first_word") + F.col("n_words")).cast("int"))["end"]
+    d = d.select("output_id", "construction", "i", "label", "source_id", a.alias("a"), b.alias("b"), F.col("text").substr(a + 1, b - a).alias("piece"))
+    h = F.conv(F.substring(salted("plan:", "output_id"), 1, 8), 16, 10).cast("long")
+    gap = F.element_at(F.array(*map(F.lit, SEPARATORS)), ((F.floor(h / 13) + F.col("i")) % 3 + 1).cast("int"))
+    g = d.withColumn("gap", gap).groupBy("output_id", "construction").agg(F.array_sort(F.collect_list(F.struct("i", "label", "source_id", "a", "b", "piece", "gap"))).alias("x"))
+    kind = "array<struct<source_id:bigint,label:int,source_start:int,source_end:int,output_start:int,output_end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def place(acc: Column, x: Column) -> Column:
+        end = (acc["at"] + F.length(x["piece"])).cast("int")
+        own = F.struct(x["source_id"].alias("source_id"), x["label"].cast("int").alias("label"), x["a"].alias("source_start"), x["b"].alias("source_end"), acc["at"].alias("output_start"), end.alias("output_end"))
+        return F.struct((end + F.length(x["gap"])).cast("int").alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    pieces = F.transform("x", lambda x, i: F.concat(x["piece"], F.when(i < F.size("x") - 1, x["gap"]).otherwise("")))
+    g = g.select("output_id", "construction", F.array_join(pieces, "").alias("text"), F.aggregate("x", start, place, lambda acc: acc["out"]).alias("components"))
+    return g.withColumn("spans", F.transform("components", lambda c: span(c["output_start"], c["output_end"], c["label"])))

@@ -10,6 +10,7 @@ from corpusmill.operators import overlap as O
 from corpusmill.operators.graph import connected_components
 from corpusmill.operators.sampling import hash_bucket
 from corpusmill.queries.registry import Tables, query
+from corpusmill.session import materialize
 
 _W = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')"
 
@@ -39,23 +40,41 @@ def greedy_screen(t: Tables) -> DataFrame:
     return O.screen_in_order(O.fingerprints(t.documents, "doc_id"), "doc_id", X.salted("screen:", "doc_id"))
 
 
-_PAIRS = "n AS (SELECT {k}, count(*) AS c FROM s GROUP BY 1), p AS (SELECT a.{k} AS a, b.{k} AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.{k} < b.{k} GROUP BY 1, 2), q AS (SELECT p.*, x.c AS size_a, y.c AS size_b FROM p JOIN n x ON a = x.{k} JOIN n y ON b = y.{k})"
+# classes of equal sets; the smallest id stands for its class
+_CLASSES = "k AS (SELECT {k}, md5(string_agg(h, '' ORDER BY h)) AS k FROM s GROUP BY 1), c AS (SELECT k, min({k}) AS class_id FROM k GROUP BY 1)"
+_PAIRS = _CLASSES + ", r AS (SELECT s.* FROM s JOIN c ON s.{k} = c.class_id), n AS (SELECT {k}, count(*) AS c FROM r GROUP BY 1), p AS (SELECT a.{k} AS a, b.{k} AS b, count(*) AS common FROM r a JOIN r b ON a.h = b.h AND a.{k} < b.{k} GROUP BY 1, 2), q AS (SELECT p.*, x.c AS size_a, y.c AS size_b FROM p JOIN n x ON a = x.{k} JOIN n y ON b = y.{k})"
+
+
+def document_sets(t: Tables) -> DataFrame:
+    return O.shingle_sets(t.documents, "doc_id", 24)
 
 
 @query(f"WITH {_sh('documents', 'doc_id', 24, 's')}, {_PAIRS.format(k='doc_id')} SELECT * FROM q WHERE common >= 10 AND least(size_a, size_b) >= 10 AND common >= 0.6 * least(size_a, size_b)")
 def near_dup_edges(t: Tables) -> DataFrame:
-    """Containment: ten shared fingerprints and 0.6 of the smaller set."""
-    return O.overlap_pairs(O.fingerprints(t.documents, "doc_id"), "doc_id", "min", 0.6, least_shared=10, least_size=10)
+    """Containment: ten shared fingerprints and 0.6 of the smaller set, between the rows that stand for their class."""
+    return O.overlap_pairs(document_sets(t), "doc_id", "min", 0.6, least_shared=10, least_size=10)
+
+
+@query(f"WITH {_sh('documents', 'doc_id', 24, 's')}, {_CLASSES.format(k='doc_id')} SELECT doc_id, class_id FROM k JOIN c USING (k)")
+def near_dup_classes(t: Tables) -> DataFrame:
+    """The class of each document: the smallest doc_id with the same set of fingerprints."""
+    return O.set_classes(document_sets(t), "doc_id")
+
+
+_PROMPTS = r"""(SELECT conv_id AS id, text FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id + 1000000, regexp_replace(text, '\s+\S+$', '') FROM conversations WHERE turn = 0)"""
 
 
-@query(f"WITH {_sh('conversations', 'conv_id', 5, 's')}, {_PAIRS.format(k='conv_id')} SELECT * FROM q WHERE common >= 0.85 * greatest(size_a, size_b)")
+@query(f"WITH {_sh(_PROMPTS, 'id', 5, 's')}, {_PAIRS.format(k='id')} SELECT * FROM q WHERE common >= 0.85 * greatest(size_a, size_b)")
 def prompt_edges(t: Tables) -> DataFrame:
-    return O.overlap_pairs(O.fingerprints(t.conversations, "conv_id", width=5).distinct(), "conv_id", "max", 0.85)
+    """First turns, and the same without their last word: 0.85 of the larger set of five-word runs."""
+    p = t.conversations.filter("turn = 0").select(F.col("conv_id").alias("id"), "text")
+    p = p.unionByName(p.select((F.col("id") + 1000000).alias("id"), F.regexp_replace("text", r"\s+\S+$", "").alias("text")))
+    return O.overlap_pairs(O.shingle_sets(p, "id", 5), "id", "max", 0.85)
 
 
 @query(f"WITH {_sh('documents', 'doc_id', 24, 's')}, {_PAIRS.format(k='doc_id')} SELECT a, b, common FROM q WHERE common >= 0.8 * (size_a + size_b - common)")
 def shingle_overlap(t: Tables) -> DataFrame:
-    return O.overlap_pairs(O.fingerprints(t.documents, "doc_id"), "doc_id", "union", 0.8).select("a", "b", "common")
+    return O.overlap_pairs(document_sets(t), "doc_id", "union", 0.8).select("a", "b", "common")
 
 
 @query(f"WITH {_sh('pages', 'page_id', 24, 's').replace('text)', 'html)').replace('lower(text', 'lower(html')}, h AS (SELECT h FROM s GROUP BY 1 HAVING count(*) > 1) SELECT page_id, count(*) AS n, CAST(sum(CASE WHEN h IN (SELECT h FROM h) THEN 1 ELSE 0 END) AS BIGINT) AS shared FROM s GROUP BY 1")
@@ -74,36 +93,65 @@ def source_overlap(t: Tables) -> DataFrame:
     return a.join(b, "h").filter("source_a < source_b").groupBy("source_a", "source_b").agg(F.count("*").alias("hits"))
 
 
-@query(f"""WITH v AS (SELECT conv_id, min(turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1), {_sh('conversations', 'conv_id, turn, role', 3, 's')},
-f AS (SELECT s.conv_id, h FROM s JOIN v ON s.conv_id = v.conv_id AND s.turn = v.t), r AS (SELECT DISTINCT conv_id, h FROM s WHERE role = 'assistant')
-SELECT f.conv_id, count(*) AS n, count(r.h) AS shared, round(count(r.h) / count(*)::DOUBLE, 9) AS share FROM f LEFT JOIN r ON f.conv_id = r.conv_id AND f.h = r.h GROUP BY 1""")
+@query(f"""WITH {_sh('documents', 'doc_id', 13, 's')}, {_sh('(SELECT doc_id, substr(text, length(text) // 5 + 1) AS text FROM documents)', 'doc_id', 13, 'r')}
+SELECT s.doc_id, count(*) AS n, count(r.h) AS shared, round(count(r.h) / count(*)::DOUBLE, 9) AS share FROM s LEFT JOIN r ON s.doc_id = r.doc_id AND s.h = r.h GROUP BY 1""")
 def version_overlap(t: Tables) -> DataFrame:
-    """Share of the first user turn's three-word runs that an answer repeats."""
-    c = t.conversations.select("conv_id", "turn", "role", X.tokens("text").alias("w")).select("conv_id", "turn", "role", F.explode(F.array_distinct(X.shingles(F.col("w"), 3))).alias("h"))
-    v = t.conversations.filter("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("turn"))
-    r = c.filter("role = 'assistant'").select("conv_id", "h", F.lit(1).alias("hit")).distinct()
-    j = c.join(v, ["conv_id", "turn"]).join(r, ["conv_id", "h"], "left").groupBy("conv_id").agg(F.count("*").alias("n"), F.count("hit").alias("shared"))
-    return j.withColumn("share", F.round(F.col("shared").cast("double") / F.col("n").cast("double"), 9))
-
-
-@query(r"""WITH w AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w, true AS q FROM benchmark UNION ALL SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), false FROM documents),
-x AS (SELECT id, q, unnest(w) AS term FROM w), tf AS (SELECT id, q, term, count(*) AS tf FROM x GROUP BY 1, 2, 3), n AS (SELECT count(*) AS n FROM documents),
-idf AS (SELECT term, ln((1 + n) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf, n WHERE NOT q GROUP BY term, n), ww AS (SELECT id, q, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)),
-nn AS (SELECT id, q, sqrt(sum(w * w)) AS norm FROM ww GROUP BY 1, 2), u AS (SELECT id, q, term, w / norm AS w FROM ww JOIN nn USING (id, q)),
-d AS (SELECT a.id AS item_id, b.id AS doc_id, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.q AND NOT b.q GROUP BY 1, 2)
-SELECT item_id, doc_id, cosine FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) = 1""")
+    """Share of a text's 13-word runs that a version without its first fifth still has; both sets are in one row, so nothing is shuffled."""
+    cut = F.expr("substring(text, length(text) div 5 + 1, length(text))")
+    d = t.documents.select("doc_id", X.tokens("text").alias("v"), X.tokens(cut).alias("w")).select("doc_id", O.runs_of("v", 13).alias("a"), O.runs_of("w", 13).alias("b"))
+    n, shared = F.size("a").cast("long"), F.size(F.array_intersect("a", "b")).cast("long")
+    d = d.select("doc_id", (n + 0 * F.monotonically_increasing_id()).alias("n"), shared.alias("shared")).filter("n > 0")  # the row number, times zero, keeps the filter here
+    return d.withColumn("share", F.round(F.col("shared").cast("double") / F.col("n").cast("double"), 9))
+
+
+_NGRAMS = r"""g AS (SELECT id, q, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM w)"""
+_NEAREST = rf"""w AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w, true AS q FROM benchmark UNION ALL SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), false FROM documents), {_NGRAMS},
+x AS (SELECT id, q, unnest(g) AS term FROM g), tf AS (SELECT id, q, term, count(*) AS tf FROM x GROUP BY 1, 2, 3), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT term, count(*) AS df, sum(tf) AS t FROM tf WHERE NOT q GROUP BY 1 HAVING count(*) >= 2 ORDER BY t DESC, term LIMIT 250000), idf AS (SELECT term, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM v, n),
+ww AS (SELECT id, q, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)), nn AS (SELECT id, q, sqrt(sum(w * w)) AS norm FROM ww GROUP BY 1, 2), u AS (SELECT id, q, term, w / norm AS w FROM ww JOIN nn USING (id, q)),
+d AS (SELECT a.id AS item_id, b.id AS doc_id, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.q AND NOT b.q GROUP BY 1, 2),
+top AS (SELECT item_id, doc_id, cosine FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) = 1)"""
+
+
+def _nearest(t: Tables) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)).alias("w")
+    n = F.size("w")
+    run = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+    grams = F.concat(run(2), run(3))
+    tf, idf = O.term_weights(t.documents.select("doc_id", words), "doc_id", grams, min_df=2, most=250_000)
+    idf = materialize(idf, "idf")
+    q = t.benchmark.select("item_id", words).select("item_id", F.explode(grams).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
+    return O.nearest(O.unit_weights(q, idf, "item_id"), O.unit_weights(tf, idf, "doc_id"), "item_id", "doc_id")
+
+
+@query(f"WITH {_NEAREST} SELECT * FROM top")
 def nn_cosine(t: Tables) -> DataFrame:
-    """The most similar document of each benchmark item, by TF-IDF cosine; the items are the query set."""
-    terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({X.TOKEN})"), F.lit(1))
-    n = t.documents.agg(F.count("*").alias("n"))
-    tf = t.documents.select("doc_id", F.explode(terms("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    base = O.tfidf(t.documents, "doc_id", terms("text"), n)
-    q = t.benchmark.select("item_id", F.explode(terms("text")).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf")).join(idf, "term")
-    q = q.select("item_id", "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-    norm = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = q.join(norm, "item_id").select("item_id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    return O.nearest(q, base, "item_id", "doc_id")
+    """The most similar document of each benchmark item, by TF-IDF cosine of two- and three-word runs in two documents at least; the items are the query set."""
+    return _nearest(t)
+
+
+@query(f"""WITH {_NEAREST}, a AS (SELECT item_id, coalesce(cosine, 0) AS cosine FROM benchmark LEFT JOIN top USING (item_id))
+SELECT count(*) AS n_items, round(max(cosine), 6) AS top, round(quantile_cont(cosine, 0.99), 6) AS p99, count(*) FILTER (cosine >= 0.7) AS over_70, count(*) FILTER (cosine >= 0.8) AS over_80, count(*) FILTER (cosine >= 0.9) AS over_90 FROM a""")
+def similarity_report(t: Tables) -> DataFrame:
+    """How near the items' nearest documents are; an item without a shared run counts as 0."""
+    c = t.benchmark.select("item_id").join(_nearest(t), "item_id", "left").select(F.coalesce("cosine", F.lit(0.0)).alias("c"))
+    over = lambda x: F.count_if(F.col("c") >= x)
+    return c.agg(F.count("*").alias("n_items"), F.round(F.max("c"), 6).alias("top"), F.round(F.percentile("c", F.lit(0.99)), 6).alias("p99"), over(0.7).alias("over_70"), over(0.8).alias("over_80"), over(0.9).alias("over_90"))
+
+
+_REFS = """refs AS (SELECT 'benchmark' AS reference, text FROM benchmark UNION ALL SELECT 'source', text FROM documents WHERE source = 'src1')"""
+_KEY = r"sha256(coalesce(array_to_string(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+'), ' '), ''))"
+
+
+@query(f"""WITH {_REFS}, {_sh('(SELECT * FROM documents WHERE source <> $$src1$$)', 'doc_id', 24, 's')}, {_sh('refs', 'reference', 24, 'b')},
+e AS (SELECT DISTINCT reference, doc_id, source FROM documents d JOIN (SELECT DISTINCT reference, {_KEY} AS key FROM refs) r ON {_KEY.replace('text', 'd.text')} = key WHERE d.source <> 'src1'),
+p AS (SELECT DISTINCT reference, doc_id, source FROM s JOIN b USING (h) JOIN documents USING (doc_id) WHERE h < '10'),
+m AS (SELECT coalesce(e.reference, p.reference) AS reference, coalesce(e.doc_id, p.doc_id) AS doc_id, coalesce(e.source, p.source) AS source, e.doc_id IS NOT NULL AS exact, p.doc_id IS NOT NULL AS phrase FROM e FULL JOIN p ON e.reference = p.reference AND e.doc_id = p.doc_id)
+SELECT reference, count(*) AS n_rows, count(*) FILTER (exact) AS n_exact, count(*) FILTER (phrase) AS n_phrase, count(DISTINCT source) AS n_groups, array_to_string(list_sort(list(doc_id))[1:20], ',') AS first_ids FROM m GROUP BY 1""".replace("$$", "'"))
+def intake_report(t: Tables) -> DataFrame:
+    """Candidates against named references: rows with the same words or a shared sampled 24-word phrase, their sources as groups, and the first ids as evidence."""
+    refs = t.benchmark.select(F.lit("benchmark").alias("reference"), "text").unionByName(t.documents.filter("source = 'src1'").select(F.lit("source").alias("reference"), "text"))
+    return O.intake(t.documents.filter("source <> 'src1'"), refs, "doc_id", "source", "reference")
 
 
 _EDGES = "e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY md5(text)) AS b FROM documents UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, n_chars) FROM documents)"

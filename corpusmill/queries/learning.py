@@ -11,22 +11,31 @@ from corpusmill.operators import ml as L
 from corpusmill.operators import replay as R
 from corpusmill.operators.neighbours import nearest_vectors
 from corpusmill.queries.registry import Tables, query
-from corpusmill.session import materialize
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), c AS (SELECT doc_id, coalesce(array_to_string(CASE WHEN len(l) > 1 THEN l[2:] ELSE l END, ' '), '') || ' Introduction: x. Results: y -' AS s FROM l)
+SELECT doc_id, md5(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(s, '(?i)\*\*\s*(?:abstract|background|methods?|results?|conclusions?)\s*\*\*\s*[:\-]?', '', 'g'), '(?i)\b(?:abstract|background|methods?|results?|conclusions?)\s*:\s*', '', 'g'), '\s+', ' ', 'g')), '^[ \-]+|[ \-]+$', '', 'g')) AS key FROM c""")
 def clean_abstract(t: Tables) -> DataFrame:
-    """Each document with its first line as the title."""
-    return t.documents.select("doc_id", F.md5(P.clean_abstract("text", F.split("text", "\n")[0])).alias("key"))
+    """Each document with its first line, labelled, as the title; section labels at the end."""
+    first = F.trim(F.split("text", "\n")[0])
+    text = F.concat(F.lit("Title: "), F.ltrim("text"), F.lit("\n Introduction: x. Results: y -"))
+    alone = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) < 2  # a text of one line isn't its own title
+    return t.documents.select("doc_id", F.md5(P.clean_abstract(F.when(alone, F.concat("text", F.lit("\n Introduction: x. Results: y -"))).otherwise(text), F.when(alone, "").otherwise(first))).alias("key"))
 
 
 @query()
 def prompt_tokens(t: Tables) -> DataFrame:
+    """NFKC has no SQL form; tests compare with Python."""
     d = t.conversations.select("conv_id", "turn", P.prompt_tokens("text").alias("w"))
     return d.select("conv_id", "turn", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("key"))
 
 
-@query()
+_LCP = """p AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))), 0) AS prefix FROM c)"""
+
+
+@query(f"""WITH n AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), c AS (SELECT * FROM n WHERE b IS NOT NULL), {_LCP},
+r AS (SELECT *, substr(a, prefix + 1) AS x, substr(b, prefix + 1) AS y FROM p)
+SELECT conv_id, turn, CAST(prefix AS BIGINT) AS prefix, CAST(coalesce(list_max(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: right(x, i) = right(y, i))), 0) AS BIGINT) AS suffix FROM r""")
 def common_prefix(t: Tables) -> DataFrame:
     """Common prefix and suffix of consecutive turns of a conversation."""
     from pyspark.sql import Window
@@ -35,52 +44,69 @@ def common_prefix(t: Tables) -> DataFrame:
     return c.select("conv_id", "turn", P.common_affixes("text", "next").alias("x")).select("conv_id", "turn", "x.prefix", "x.suffix")
 
 
-@query()
-def parse_tags(t: Tables) -> DataFrame:
-    """Turns with every [-[ ... ]-] span marked: tags are added around the second word and parsed back."""
-    from pyspark.sql import types as T
+@query("""WITH k AS (SELECT doc_id, CAST(floor(length(text) * 3 / 5) AS BIGINT) AS kept, length(text) AS n FROM documents), g AS (SELECT *, kept + 1 + 40 * (doc_id % 4) AS total FROM k)
+SELECT doc_id, CASE WHEN kept < 200 OR kept / total::DOUBLE < 0.5 OR total - kept < 80 THEN 'weak' ELSE 'kept' END AS verdict, kept AS boundary FROM g""")
+def prefix_boundary(t: Tables) -> DataFrame:
+    """Where a continued text leaves its source: the first three fifths of a document, then other text."""
+    cut = F.expr("substring(text, 1, int(floor(length(text) * 3 / 5)))")
+    more = F.expr("concat(char(1), repeat('q', int(40 * (doc_id % 4))))")
+    d = t.documents.select("doc_id", F.concat(cut, more).alias("own"), "text").withColumn("x", P.common_affixes("own", "text"))
+    kept, total = F.col("x.prefix"), F.length("own")
+    weak = (kept < 200) | (kept.cast("double") / total.cast("double") < 0.5) | (total - kept < 80)
+    return d.select("doc_id", F.when(weak, "weak").otherwise("kept").alias("verdict"), kept.alias("boundary"))
 
-    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-
-    def parse(s: str) -> tuple:
-        text, spans = P.parse_tagged(s, "[-[", "]-]")
-        return (text, *spans[0]) if spans else (text, None, None)
-
-    @F.pandas_udf(kind)
-    def run(s):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.DataFrame([parse(x) for x in s], columns=["text", "start", "end"])
 
+@query(r"""WITH c AS (SELECT conv_id, turn, text, regexp_extract(text, '^(\S+\s+)\S+', 1) AS lead, regexp_extract(text, '^\S+\s+(\S+)', 1) AS word, contains(text, '[-[') OR contains(text, ']-]') AS tags FROM conversations)
+SELECT conv_id, turn, NOT tags AS same, CASE WHEN NOT tags AND word <> '' THEN CAST(length(lead) AS INT) END AS start, CASE WHEN NOT tags AND word <> '' THEN CAST(length(lead) + length(word) AS INT) END AS "end" FROM c""")
+def parse_tags(t: Tables) -> DataFrame:
+    """Turns with their second word tagged, parsed back; a text that holds a tag of its own is an error, not a failure."""
     tagged = F.regexp_replace("text", r"^(\S+\s+)(\S+)", "$1[-[$2]-]")
-    d = t.conversations.select("conv_id", "turn", "text", run(tagged).alias("x"))
-    return d.select("conv_id", "turn", (F.col("x.text") == F.col("text")).alias("same"), "x.start", "x.end")
+    d = t.conversations.select("conv_id", "turn", "text", P.tagged_spans("[-[", "]-]")(tagged).alias("x"))
+    one = F.get("x.spans", F.lit(0))
+    return d.select("conv_id", "turn", (F.col("x.error").isNull() & F.col("x.text").eqNullSafe(F.col("text"))).alias("same"), one["start"].alias("start"), one["end"].alias("end"))
 
 
 @query()
 def html_text(t: Tables) -> DataFrame:
-    """Blocks of own text of each page."""
+    """Blocks of own text of each page; tests check the parser."""
     d = t.pages.select("page_id", P.html_blocks("html").alias("b"))
     return d.select("page_id", F.size("b").alias("n_blocks"), F.md5(F.array_join(F.transform("b", lambda x: x["text"]), "\n")).alias("key"))
 
 
 @query()
 def html_article(t: Tables) -> DataFrame:
-    d = t.pages.select("page_id", P.article_text(P.html_blocks("html")).alias("a"))
-    return d.select("page_id", X.word_count("a").alias("n_words"), F.md5("a").alias("key"))
+    """Verdict and article text of each page; tests check the rules."""
+    d = t.pages.select("page_id", P.article_text(least=50)("html").alias("a"))
+    return d.select("page_id", "a.verdict", X.word_count("a.text").alias("n_words"), F.md5("a.text").alias("key"))
 
 
 @query()
 def html_sections(t: Tables) -> DataFrame:
-    """(page, heading, place, text): paragraphs under the heading before them."""
-    from pyspark.sql import Window
+    """(page, heading, place, text): paragraphs under the headings between a first and a last one, without skipped ones; tests check the flags."""
+    from corpusmill.operators.intervals import sections
 
     d = t.pages.select("page_id", F.posexplode(P.html_blocks("html")).alias("place", "b")).select("page_id", "place", "b.tag", "b.text")
-    head = F.last(F.when(F.col("tag").startswith("h"), F.col("text")), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("place"))
-    return d.withColumn("heading", head).filter(~F.col("tag").startswith("h")).select("page_id", "heading", "place", F.md5("text").alias("key"))
+    return sections(d, "page_id", "place", stop=["References"], skip=["Contents"]).select("page_id", "heading", "place", F.md5("text").alias("key"))
 
 
 @query()
+def dated_prose(t: Tables) -> DataFrame:
+    """Documents behind a date line, their lines as sections, notes at the end; tests compare with the rules."""
+    text = F.concat(F.lit("March 3, 2020\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n\nNotes\n\nthis is left out of the prose as it follows the notes heading"))
+    d = t.documents.select("doc_id", P.dated_prose(text).alias("x"))
+    return d.select("doc_id", "x.day", F.md5("x.prose").alias("key"))
+
+
+@query()
+def two_excerpts(t: Tables) -> DataFrame:
+    """Two excerpts of about sixty words from the halves of each document; tests check that they share no sentence."""
+    d = t.documents.select("doc_id", P.disjoint_excerpts(60)("text", F.col("doc_id").cast("string")).alias("x"))
+    return d.select("doc_id", F.md5("x.first").alias("first"), F.md5("x.second").alias("second"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN 1 WHEN length(text) = 1 THEN 0 ELSE -100 END AS label FROM conversations WHERE length(text) > 0),
+f AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS new FROM c)
+SELECT CAST(conv_id AS VARCHAR) AS session, CAST(sum(length(text)) AS INT) AS n_chars, CAST(sum(new) AS INT) AS n_spans, 0 AS edited FROM f GROUP BY conv_id""")
 def replay(t: Tables) -> DataFrame:
     """Conversations as editing sessions: system text starts the document, user and assistant turns are appended."""
     from pyspark.sql import Window
@@ -102,19 +128,29 @@ def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def _baseline(t: Tables, grams, most: int) -> DataFrame:
     train, rows = _split(t)
-    x = materialize(L.tfidf_vectors(train, rows, "doc_id", grams, most=most).join(rows.select("doc_id", "label", "test"), "doc_id"), "tfidf")
-    model = L.logistic(x.filter("NOT test"), rounds=30)
+    x = L.tfidf_vectors(train, rows, "doc_id", grams, most=most).join(rows.select("doc_id", "label", "test"), "doc_id")
+    model = L.logistic(x.filter("NOT test"), rounds=1000)
     return L.positive_score(model, x).select("doc_id", "label", "test", F.round("score", 6).alias("score"))
 
 
 @query()
 def tfidf_char(t: Tables) -> DataFrame:
-    return _baseline(t, L.char_ngrams("text"), 20_000)
+    """Fitted, so without SQL; tests check the weights and the held-out rows."""
+    return _baseline(t, L.char_ngrams("text"), 300_000)
 
 
 @query()
 def tfidf_word(t: Tables) -> DataFrame:
-    return _baseline(t, L.word_ngrams("text"), 20_000)
+    return _baseline(t, L.word_ngrams("text"), 200_000)
+
+
+@query()
+def embedding_logistic(t: Tables) -> DataFrame:
+    """Logistic regression on unit vectors; every fifth row by hash is held out."""
+    e = t.embeddings.filter("embedding IS NOT NULL").select("vec_id", L.unit("embedding").alias("v"), F.col("label").cast("double").alias("label"))
+    d = e.withColumn("test", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0).withColumn("features", L.array_to_vector("v"))
+    model = L.logistic(d.filter("NOT test"), rounds=1000)
+    return model.transform(d).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"), "test")
 
 
 _VOCAB = [("the", "a", 0.5), ("and", "a", 0.25), ("of", "a", 0.25), ("der", "b", 0.5), ("die", "b", 0.25), ("und", "b", 0.25), ("de", "c", 0.5), ("la", "c", 0.25), ("que", "c", 0.25)]
@@ -138,6 +174,12 @@ def linear_probe(t: Tables) -> DataFrame:
     return L.probe(d, "v", "label", ~F.col("test")).select("vec_id", "label", "predicted", "test")
 
 
+@query("""WITH x AS (SELECT vec_id // 4 AS document, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) SELECT document, CAST(i AS INT) AS i, round(avg(x), 6) AS mean FROM x GROUP BY 1, 2""")
+def document_vector(t: Tables) -> DataFrame:
+    """The mean vector of each document's windows; four vectors in a row stand for the windows of a document."""
+    return t.embeddings.select(F.expr("vec_id div 4").alias("document"), F.posexplode("embedding").alias("i", "x")).groupBy("document", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
 @query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) SELECT label, CAST(i AS INT) AS i, round(avg(x), 6) AS mean FROM x GROUP BY 1, 2""")
 def mean_vector(t: Tables) -> DataFrame:
     return t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as X
 from corpusmill.operators import intervals as I
 from corpusmill.operators.dedup import first_of
+from corpusmill.operators.ranking import hash_rank
 from corpusmill.operators.sampling import group_rank
 from corpusmill.queries.registry import Tables, query
 
@@ -51,7 +52,7 @@ def label_pair(t: Tables) -> DataFrame:
 SELECT a.lang, CAST(a.rn AS INT) AS rn, a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.lang = b.lang AND a.rn = b.rn AND a.quality = 0 AND b.quality = 1""")
 def rank_zip(t: Tables) -> DataFrame:
     """The i-th of one label with the i-th of the other in each stratum."""
-    d = group_rank(t.documents.select("doc_id", "lang").join(t.labels, "doc_id"), ["lang", "quality"], [X.salted("zip:", "doc_id"), "doc_id"], "rn")
+    d = hash_rank(t.documents.select("doc_id", "lang").join(t.labels, "doc_id"), X.salted("zip:", "doc_id"), ["doc_id"], "rn", ["lang", "quality"])
     a, b = (d.filter(F.col("quality") == q).select("lang", "rn", F.col("doc_id").alias(n)) for q, n in ((0, "a"), (1, "b")))
     return a.join(b, ["lang", "rn"])
 
@@ -118,10 +119,10 @@ def interp_quantile(t: Tables) -> DataFrame:
 @query("SELECT lang, source, quality, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(GROUPING(lang) AS INT) * 4 + CAST(GROUPING(source) AS INT) * 2 + CAST(GROUPING(quality) AS INT) AS level FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), (quality), (lang, source), (lang, quality), ())")
 def exposure_sets(t: Tables) -> DataFrame:
     """Several groupings of the same facts in one pass."""
-    t.documents.select("doc_id", "lang", "source", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id").createOrReplaceTempView("cm_exposure")
-    return t.spark.sql(
-        "SELECT lang, source, quality, count(*) AS n, sum(n_chars) AS chars, CAST(grouping_id(lang, source, quality) AS INT) AS level FROM cm_exposure GROUP BY lang, source, quality GROUPING SETS ((lang), (source), (quality), (lang, source), (lang, quality), ())"
-    )
+    d = t.documents.select("doc_id", "lang", "source", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id")
+    keys = ["lang", "source", "quality"]
+    sets = [[F.col(k) for k in x] for x in (["lang"], ["source"], ["quality"], ["lang", "source"], ["lang", "quality"], [])]
+    return d.groupingSets(sets, *keys).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.grouping_id(*keys).cast("int").alias("level"))
 
 
 @query("SELECT uses, count(*) AS n_keys FROM (SELECT l_partkey, count(*) AS uses FROM lineitem GROUP BY 1) GROUP BY 1")
@@ -198,12 +199,28 @@ def risk_window(t: Tables) -> DataFrame:
     return I.best_window(t.events, "user_id", ["ts", "event_id"], "value", 5)
 
 
+def _packed(t: Tables, most: int, least: int, **options) -> DataFrame:
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    d = t.documents.select("doc_id", lines.alias("p")).withColumn("n", F.transform("p", lambda x: F.size(X.words(x))))
+    return d.select("doc_id", F.posexplode(I.pack_chunks(F.col("p"), F.col("n"), most, least, **options)).alias("chunk", "c")).select("doc_id", "chunk", F.col("c.n").alias("n_words"), F.md5("c.text").alias("key"))
+
+
 @query()
 def pack_chunks(t: Tables) -> DataFrame:
-    """Lines packed into chunks of at most 120 words; chunks under 40 words are dropped."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    d = t.documents.select("doc_id", lines.alias("p")).withColumn("n", F.transform("p", lambda x: F.size(F.regexp_extract_all(x, F.lit(r"(\S+)"), F.lit(1)))))
-    return d.select("doc_id", F.posexplode(I.pack_chunks(F.col("p"), F.col("n"), 120, 40)).alias("chunk", "c")).select("doc_id", "chunk", F.col("c.n").alias("n_words"), F.md5("c.text").alias("key"))
+    """Lines packed into chunks of at most 360 words, those under 90 dropped; an order-dependent fold, compared with a loop in tests."""
+    return _packed(t, 360, 90, between="\n\n")
+
+
+@query()
+def pack_pages(t: Tables) -> DataFrame:
+    """The same with at most 380 and at least 100 words."""
+    return _packed(t, 380, 100, between="\n\n")
+
+
+@query()
+def pack_bodies(t: Tables) -> DataFrame:
+    """Lines over 350 words are left out; a chunk closes over 300 words once it has 150, and holds 150 to 350."""
+    return _packed(t, 300, 150, longest=350, keep_short=True, between=" ")
 
 
 @query(r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS p FROM documents), i AS (SELECT doc_id, p, unnest(list_distinct([1, len(p) // 2 + 1, len(p)])) AS i FROM l WHERE len(p) > 0)
@@ -222,3 +239,18 @@ def consecutive_blocks(t: Tables) -> DataFrame:
     r = group_rank(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], "rn")
     b = r.groupBy("user_id", F.expr("(rn - 1) div 3").alias("block")).agg(F.min("event_id").alias("first_id"), F.count("*").alias("n"))
     return b.filter("n = 3")
+
+
+# Containment and alignment
+
+
+@query("""WITH l AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 50 = 0 UNION ALL SELECT -1 - doc_id FROM labels WHERE doc_id % 40 = 0), b AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, n FROM documents a FULL JOIN b ON a.doc_id = b.doc_id)
+SELECT CASE WHEN b IS NULL THEN 'left_only' WHEN a IS NULL THEN 'right_only' WHEN n > 1 THEN 'repeated' ELSE 'matched' END AS verdict, count(*) AS n FROM j GROUP BY 1""")
+def one_to_one(t: Tables) -> DataFrame:
+    """Documents against labels, some of them repeated and some for no document."""
+    from corpusmill.operators.contracts import alignment
+
+    own = t.labels.select("doc_id")
+    other = own.unionByName(own.filter("doc_id % 50 = 0")).unionByName(own.filter("doc_id % 40 = 0").select((-1 - F.col("doc_id")).alias("doc_id")))
+    return alignment(t.documents.select("doc_id"), other, "doc_id").groupBy("verdict").agg(F.count("*").alias("n"))

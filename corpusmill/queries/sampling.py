@@ -11,6 +11,7 @@ from corpusmill.operators.dedup import first_of, group_dedup as drop_shared_grou
 from corpusmill.operators.ranking import hash_rank as ranked
 from corpusmill.queries.registry import Tables, query
 
+#: Categories and their shares.
 SHARES = {"paper": 0.35, "reference_education": 0.20, "creative": 0.20, "social_qa": 0.10, "reviews": 0.10, "news": 0.05}
 _DOCS = "documents d JOIN labels l USING (doc_id)"
 
@@ -35,7 +36,7 @@ def tiers(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY sha256('rank:' || doc_id), doc_id) AS INT) AS rank FROM documents")
 def hash_rank(t: Tables) -> DataFrame:
-    return S.group_rank(t.documents.select("doc_id", "lang"), ["lang"], [X.salted("rank:", "doc_id"), "doc_id"])
+    return ranked(t.documents.select("doc_id", "lang"), X.salted("rank:", "doc_id"), ["doc_id"], by=["lang"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY sha256('shuffle:' || doc_id), doc_id) AS place FROM documents")
@@ -94,7 +95,7 @@ SELECT o_custkey, origin, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <=
 def frac_split(t: Tables) -> DataFrame:
     """Groups go to the origin that comes first, then are cut 70/85/100 per origin."""
     g = t.orders.groupBy("o_custkey").agg(F.min("o_orderpriority").alias("origin"))
-    return S.fraction_split(g, ["origin"], [X.salted("frac:", "o_custkey"), "o_custkey"], {"train": 0.7, "calibration": 0.85, "test": 1.0})
+    return S.fraction_split(g, ["origin"], X.salted("frac:", "o_custkey"), ["o_custkey"], {"train": 0.7, "calibration": 0.85, "test": 1.0})
 
 
 @query("SELECT doc_id, CASE source WHEN 'src1' THEN 'val' WHEN 'src2' THEN 'test' WHEN 'src3' THEN 'test' ELSE 'train' END AS split FROM documents")
@@ -114,9 +115,17 @@ def quota_floor(t: Tables) -> DataFrame:
 f AS (SELECT source, CAST(floor(raw) AS BIGINT) AS n, row_number() OVER (ORDER BY raw - floor(raw) DESC, source DESC) AS k FROM r)
 SELECT source, n + CASE WHEN k <= 333 - (SELECT sum(n) FROM f) THEN 1 ELSE 0 END AS quota FROM f""")
 def quota_lr(t: Tables) -> DataFrame:
-    """Largest remainder over the sources' row counts; the sources are counted on the cluster."""
-    counts = {r.source: r.n for r in t.documents.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()}
-    return small(t, list(S.quota_largest_remainder(333, counts).items()), "source string, quota bigint")
+    """Largest remainder over the sources' row counts."""
+    return S.quotas_largest_remainder(t.documents.groupBy("source").agg(F.count("*").alias("n")), "source", "n", 333)
+
+
+@query("""WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY sha256('take:' || o_custkey), o_custkey) AS i FROM orders GROUP BY 1),
+f AS (SELECT 0 AS i, CAST(0 AS BIGINT) AS have, CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS BIGINT) AS n
+  UNION ALL SELECT f.i + 1, CASE WHEN f.have < 400 AND f.have + g.n <= 403 THEN f.have + g.n ELSE f.have END, CASE WHEN f.have < 400 AND f.have + g.n <= 403 THEN g.o_custkey END, g.n FROM f JOIN g ON g.i = f.i + 1)
+SELECT o_custkey, n FROM f WHERE o_custkey IS NOT NULL""")
+def take_groups(t: Tables) -> DataFrame:
+    """Whole customers up to 400 orders, three more at most; those that would pass that are passed over."""
+    return S.take_groups(t.orders, "o_custkey", "take:", 400, 3)
 
 
 @query("""WITH s(category, share) AS (VALUES ('paper', 0.35::DOUBLE), ('reference_education', 0.20), ('creative', 0.20), ('social_qa', 0.10), ('reviews', 0.10), ('news', 0.05))
@@ -177,7 +186,7 @@ def balanced_assign(t: Tables) -> DataFrame:
     """Orders draw on finished customers of their priority; uses differ by at most one."""
     demand = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("priority"))
     supply = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("supplier"), F.col("o_orderpriority").alias("priority")).distinct()
-    return S.balanced_assign(demand, supply, "priority", ["o_orderkey"], ["supplier"]).select("o_orderkey", "priority", "supplier")
+    return S.balanced_assign(demand, supply, "priority", "o_orderkey", "supplier").select("o_orderkey", "priority", "supplier")
 
 
 @query("SELECT n, CAST(i AS INT) AS i, CAST(round_even(i * (n - 1) / 7.0::DOUBLE, 0) AS BIGINT) AS pick FROM (SELECT DISTINCT n_chars AS n FROM documents WHERE n_chars > 8), (SELECT unnest(range(8)) AS i)")

@@ -88,11 +88,17 @@ def repeat2(t: Tables) -> DataFrame:
 
 
 def window_scores(t: Tables) -> DataFrame:
-    """(doc_id, start, scores): windows of 64 words, 32 apart, each word scored by its length and the window's start."""
+    """(doc_id, starts, scores): a document's windows of 64 words, 32 apart, each word scored by its length and the window's start."""
     d = t.documents.select("doc_id", X.words("text").alias("w"))
-    d = d.select("doc_id", "w", F.explode(S.window_starts(F.size("w"), 64, 32)).alias("start"))
-    s = F.transform(F.slice("w", F.col("start") + 1, F.lit(64)), lambda w: F.length(w).cast("double") / 10 + (F.col("start") % 7).cast("double") / 100)
-    return d.select("doc_id", "start", s.alias("scores"))
+    d = d.select("doc_id", "w", S.window_starts(F.size("w"), 64, 32).alias("starts"))
+    score = lambda at: F.transform(F.slice("w", at + 1, F.lit(64)), lambda w: F.length(w).cast("double") / 10 + (at % 7).cast("double") / 100)
+    return d.select("doc_id", "starts", F.transform("starts", score).alias("scores"))
+
+
+def stitched_scores(t: Tables) -> DataFrame:
+    """(doc_id, scores)."""
+    d = window_scores(t).select("doc_id", S.stitched("starts", "scores").alias("scores"))
+    return d.select("doc_id", F.transform("scores", lambda x: F.round(x, 9)).alias("scores"))
 
 
 _SCORES = r"""w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), st AS (SELECT DISTINCT doc_id, w, s FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 64, 0) + 1, 32)) AS s FROM w UNION ALL SELECT doc_id, w, greatest(len(w) - 64, 0) FROM w)),
@@ -101,14 +107,35 @@ ps AS (SELECT doc_id, s, w, unnest(range(s, least(s + 64, len(w)))) AS pos FROM
 
 @query(f"WITH {_SCORES} SELECT doc_id, CAST(pos AS INT) AS pos, score FROM sc")
 def stitch_scores(t: Tables) -> DataFrame:
-    return S.stitch(window_scores(t), "doc_id", "start", "scores")
+    return stitched_scores(t).select("doc_id", F.posexplode("scores").alias("pos", "score"))
 
 
 @query(f"WITH {_SCORES} SELECT doc_id, count(*) AS n, round(max(score), 6) AS top, CAST(sum(CASE WHEN score >= 0.9 THEN 1 ELSE 0 END) AS BIGINT) AS over FROM sc GROUP BY 1")
 def span_scores(t: Tables) -> DataFrame:
     """A ragged score cache, one row of arrays per document, summed up."""
-    s = S.stitch(window_scores(t), "doc_id", "start", "scores").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "score"))), lambda x: x["score"]).alias("scores"))
-    return s.select("doc_id", F.size("scores").cast("long").alias("n"), F.round(F.array_max("scores"), 6).alias("top"), F.size(F.filter("scores", lambda x: x >= 0.9)).cast("long").alias("over"))
+    s = stitched_scores(t)
+    return s.select("doc_id", F.size("scores").cast("long").alias("n"), F.round(F.array_max("scores"), 6).alias("top"), F.size(F.filter("scores", lambda x: x >= 0.9)).cast("long").alias("over")).filter("n > 0")
+
+
+@query(f"WITH {_SCORES}, m AS (SELECT doc_id, s, avg(length(w[pos + 1])::DOUBLE / 10 + (s % 7)::DOUBLE / 100) AS m FROM ps GROUP BY 1, 2) SELECT doc_id, count(*) AS n_windows, round(avg(m), 6) AS score FROM m GROUP BY 1")
+def window_mean(t: Tables) -> DataFrame:
+    """A document's score: the mean of its windows' mean scores."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + v) / F.size(x)
+    d = window_scores(t).select("doc_id", F.filter("scores", lambda x: F.size(x) > 0).alias("x")).filter(F.size("x") > 0)
+    return d.select("doc_id", F.size("x").cast("long").alias("n_windows"), F.round(mean(F.transform("x", mean)), 6).alias("score"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, lang, source, regexp_extract_all(text, '\S+') AS w FROM documents), st AS (SELECT DISTINCT doc_id, lang, source, w, s FROM (SELECT *, unnest(range(0, greatest(len(w) - 512, 0) + 1, 256)) AS s FROM w UNION ALL SELECT *, greatest(len(w) - 512, 0) FROM w)),
+x AS (SELECT source, lang, doc_id, s, len(list_filter(w[s + 1:s + 512], lambda x: length(x) >= 5)) AS long_words, len(w[s + 1:s + 512]) AS n FROM st),
+d AS (SELECT source, lang, count(*) AS documents, sum(len(w)) AS tokens FROM w GROUP BY 1, 2)
+SELECT d.source, d.lang, documents, count(*) AS windows, CAST(max(tokens) AS BIGINT) AS tokens, CAST(sum(long_words) AS BIGINT) AS supervised, CAST(2 * sum(n) AS BIGINT) AS processed FROM d JOIN x ON d.source = x.source AND d.lang = x.lang GROUP BY 1, 2, 3""")
+def exposure_windows(t: Tables) -> DataFrame:
+    """Documents, windows, tokens, supervised tokens (of five letters and more, counted in each window) and tokens of sequences that repeat each window, by source and language."""
+    d = t.documents.select("source", "lang", X.words("text").alias("w")).withColumn("s", S.window_starts(F.size("w")))
+    part = F.transform("s", lambda a: F.slice("w", a + 1, F.lit(512)))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    d = d.select("source", "lang", F.size("w").alias("n"), F.size("s").alias("k"), total(F.transform(part, lambda p: F.size(F.filter(p, lambda w: F.length(w) >= 5)))).alias("y"), total(F.transform(part, F.size)).alias("p"))
+    return d.groupBy("source", "lang").agg(F.count("*").alias("documents"), F.sum("k").alias("windows"), F.sum("n").alias("tokens"), F.sum("y").alias("supervised"), (2 * F.sum("p")).alias("processed"))
 
 
 _OFFS = r"""p AS (SELECT doc_id, regexp_extract_all(text, '\s+|\S+') AS p FROM documents), u AS (SELECT doc_id, unnest(p) AS w, unnest(range(len(p))) AS i FROM p),
@@ -154,9 +181,11 @@ def excerpts(t: Tables, k: int) -> DataFrame:
     return d.select("doc_id", "first_word", a.alias("start"), b.alias("end"), F.col("text").substr(a + 1, b - a).alias("cut"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS w, CAST('0x' || substr(sha256('excerpt:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents), k AS (SELECT doc_id, w, h % (len(w) - 511) AS f FROM w WHERE len(w) >= 512),
+o AS (SELECT doc_id, f, array_to_string(w[f + 1:f + 512], '') AS cut, coalesce(length(array_to_string(w[1:f], '')), 0) AS before FROM k), c AS (SELECT *, ltrim(cut, ' ' || chr(9) || chr(10) || chr(13)) AS own FROM o)
+SELECT doc_id, CAST(f AS BIGINT) AS first_word, CAST(before + length(cut) - length(own) AS INT) AS start, CAST(before + length(cut) AS INT) AS "end", md5(own) AS key FROM c""")
 def bounded_excerpt(t: Tables) -> DataFrame:
-    """One window of at most 512 words of longer texts, its place kept; tests check that it is that part of the text."""
+    """One window of 512 words of longer texts, its place kept."""
     return excerpts(t, 512).select("doc_id", "first_word", "start", "end", F.md5("cut").alias("key"))
 
 
@@ -191,17 +220,72 @@ def shift_spans(t: Tables) -> DataFrame:
     return d.groupBy("conv_id").agg(F.max("s.end").cast("long").alias("total"), F.sum("s.start").cast("long").alias("starts"), F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY sha256('assemble:' || doc_id), doc_id) - 1 AS i FROM documents), k AS (SELECT lang, i // 3 AS d, i % 3 AS p, doc_id, length(substr(text, 1, 200)) AS n FROM s),
-o AS (SELECT *, coalesce(sum(n + 2) OVER (PARTITION BY lang, d ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM k)
-SELECT lang, CAST(d AS BIGINT) AS doc, CAST(off AS BIGINT) AS output_start, CAST(off + n AS BIGINT) AS output_end, doc_id AS source_id FROM o""")
+_NAMES = "['unaltered_source', 'same_label_short_join', 'same_label_long_join', 'same_source_short_mix', 'same_source_long_mix']"
+_ASSEMBLED = rf"""n AS (SELECT doc_id, source, CAST(doc_id % 2 AS INT) AS label, len(regexp_extract_all(text, '\S+')) AS n FROM documents), e AS (SELECT * FROM n WHERE n >= 200),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY sha256('assemble:' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source, label) AS m FROM e),
+d AS (SELECT doc_id AS output_id, source, label AS first, CAST(CAST('0x' || substr(sha256('plan:' || doc_id), 1, 8) AS BIGINT) AS BIGINT) AS h, rn FROM r),
+p AS (SELECT *, {_NAMES}[h % 5 + 1] AS construction, CASE h % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 + h // 5 % 2 WHEN 2 THEN 5 + h // 5 % 3 WHEN 3 THEN 2 ELSE 5 + h // 5 % 3 END AS parts FROM d),
+q AS (SELECT *, 1 + h // 15 % greatest(parts - 2, 1) AS switch, unnest(range(parts)) AS i FROM p),
+l AS (SELECT *, CASE WHEN h % 5 <= 2 THEN first WHEN h % 5 = 3 THEN CASE WHEN i = 0 THEN first ELSE 1 - first END WHEN i < switch THEN first WHEN i = parts - 1 AND parts >= 6 AND h // 105 % 2 = 0 THEN first ELSE 1 - first END AS label FROM q),
+s AS (SELECT output_id, construction, i, l.label, r.doc_id AS source_id, CASE WHEN h % 5 = 0 THEN r.n WHEN h % 5 IN (1, 3) THEN [50, 90, 140][(h // 7 + i) % 3 + 1] ELSE [90, 140, 200][(h // 7 + i) % 3 + 1] END AS k, r.n, h FROM l JOIN r ON r.source = l.source AND r.label = l.label AND r.rn = (l.rn + i - 1) % r.m + 1)"""
+
+
+@query(f"WITH {_ASSEMBLED} SELECT output_id, construction, CAST(i AS INT) AS i, label, source_id, CAST(k AS INT) AS n_words, CAST((h // 11 + i) % (n - k + 1) AS BIGINT) AS first_word FROM s")
+def assemble_plan(t: Tables) -> DataFrame:
+    """Which excerpt of which document each part of an assembled document is: five constructions with one or both labels, all parts of one source."""
+    return S.assembly_plan(assembly_parts(t))
+
+
+def assembly_parts(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", "source", (F.col("doc_id") % 2).cast("int").alias("label"), F.size(X.words("text")).alias("n"))
+    return d.filter("n >= 200")
+
+
+_PARTS = rf"""c AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS w FROM documents),
+x AS (SELECT output_id, i, label, source_id, ltrim(array_to_string(w[(h // 11 + i) % (n - k + 1) + 1:(h // 11 + i) % (n - k + 1) + k], ''), ' ' || chr(9) || chr(10) || chr(13)) AS piece, h FROM s JOIN c ON c.doc_id = s.source_id),
+o AS (SELECT *, coalesce(sum(length(piece) + CASE (h // 13 + i) % 3 WHEN 0 THEN 1 ELSE 2 END) OVER (PARTITION BY output_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x)"""
+
+
+@query(f"WITH {_ASSEMBLED}, {_PARTS} SELECT output_id, CAST(i AS INT) AS i, label, source_id, CAST(off AS INT) AS output_start, CAST(off + length(piece) AS INT) AS output_end, md5(piece) AS key FROM o")
 def assemble_docs(t: Tables) -> DataFrame:
-    """Documents put together from three sources each; components map output to source, separators have no label."""
-    from corpusmill.operators.sampling import group_rank
-
-    s = group_rank(t.documents.select("doc_id", "lang", F.substring("text", 1, 200).alias("part")), ["lang"], [X.salted("assemble:", "doc_id"), "doc_id"], "i")
-    g = s.groupBy("lang", F.expr("(i - 1) div 3").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("i", "doc_id", F.length("part").alias("n")))).alias("x"))
-    kind = "array<struct<source_id:bigint,output_start:int,output_end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    walk = lambda a, x: F.struct((a["at"] + x["n"] + 2).cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(x["doc_id"].alias("source_id"), a["at"].alias("output_start"), (a["at"] + x["n"]).alias("output_end")))).alias("out"))
-    d = g.select("lang", "doc", F.explode(F.aggregate("x", start, walk, lambda a: a["out"])).alias("c"))
-    return d.select("lang", "doc", F.col("c.output_start").cast("long").alias("output_start"), F.col("c.output_end").cast("long").alias("output_end"), "c.source_id")
+    """The parts of each assembled document at their places in its text; separators between them have no label."""
+    d = S.assemble(S.assembly_plan(assembly_parts(t)), t.documents.select("doc_id", "text"))
+    d = d.select("output_id", "text", F.posexplode("components").alias("i", "c"))
+    piece = F.expr("substring(text, c.output_start + 1, c.output_end - c.output_start)")
+    return d.select("output_id", "i", "c.label", "c.source_id", "c.output_start", "c.output_end", F.md5(piece).alias("key"))
+
+
+@query(rf"""WITH {_ISLANDS}, c AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1), b AS (SELECT conv_id FROM m GROUP BY 1 HAVING bool_or(label = 0) AND bool_or(label = 1)),
+w AS (SELECT len(regexp_extract_all(substr(text, start + 1, "end" - start), '\S+')) AS n FROM m JOIN c USING (conv_id) SEMI JOIN b USING (conv_id) WHERE label = 1)
+SELECT count(*) AS n_spans, median(n)::DOUBLE AS median_words FROM w""")
+def span_words(t: Tables) -> DataFrame:
+    """Words of each span of the second label in mixed conversations, and their median."""
+    d = turn_spans(t).filter(S.kind(F.col("spans")) == "mixed").select("text", F.explode(F.filter("spans", lambda s: s["label"] == 1)).alias("s"))
+    n = F.size(X.words(F.expr("substring(text, s.start + 1, s.end - s.start)")))
+    return d.select(n.alias("n")).agg(F.count("*").alias("n_spans"), F.median("n").alias("median_words"))
+
+
+@query(rf"""WITH {_ISLANDS}, c AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1), p AS (SELECT conv_id, regexp_extract_all(text, '\s+|\S+') AS p FROM c),
+u AS (SELECT conv_id, unnest(p) AS w, unnest(range(len(p))) AS i FROM p), o AS (SELECT conv_id, w, coalesce(sum(length(w)) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM u)
+SELECT o.conv_id, count(*) AS n FROM o JOIN m ON o.conv_id = m.conv_id AND m.start <= o.s AND m."end" >= o.s + length(w) AND label = 1 WHERE regexp_matches(w, '^\S') GROUP BY 1""")
+def tokens_within(t: Tables) -> DataFrame:
+    """Words that lie wholly within a span of the second label."""
+    d = turn_spans(t).select("conv_id", S.tokens_inside(S.word_offsets("text"), F.filter("spans", lambda s: s["label"] == 1)).alias("k")).filter(F.size("k") > 0)
+    return d.select("conv_id", F.size("k").cast("long").alias("n"))
+
+
+@query(r"""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents), p AS (SELECT a.doc_id, a.n - 100 AS hmax, b.n - 100 AS amax, (a.doc_id * 37) % (a.n - 99) AS h FROM n a JOIN n b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0 WHERE a.n >= 100 AND b.n >= 100)
+SELECT doc_id, CAST(h AS BIGINT) AS first_start, CAST(CASE WHEN hmax > 0 THEN round_even(h / hmax::DOUBLE * amax, 0) ELSE 0 END AS BIGINT) AS matched_start FROM p""")
+def matched_start(t: Tables) -> DataFrame:
+    """The window of a pair's second text that lies as far in as that of the first, windows of 100 words."""
+    n = t.documents.select("doc_id", F.size(X.words("text")).cast("long").alias("n")).filter("n >= 100")
+    p = n.filter("doc_id % 2 = 0").join(n.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("m")), "doc_id")
+    h = (F.col("doc_id") * 37) % (F.col("n") - 99)
+    return p.select("doc_id", h.alias("first_start"), S.matched_start(h, F.col("n") - 100, F.col("m") - 100).alias("matched_start"))
+
+
+@query(rf"""WITH {_ISLANDS}, c AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1), k AS (SELECT conv_id, count(*) AS n FROM m GROUP BY 1)
+SELECT conv_id FROM c LEFT JOIN k USING (conv_id) WHERE n >= 2 AND len(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')) >= 80""")
+def span_count_gate(t: Tables) -> DataFrame:
+    """Conversations of at least two spans and eighty words."""
+    return turn_spans(t).filter((F.size("spans") >= 2) & (F.size(X.tokens("text")) >= 80)).select("conv_id")

@@ -17,7 +17,9 @@ FOOTER = r"(?i)(?:all rights reserved|licensed under|copyright)"
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT source) AS n_sources FROM documents")
 def scan_glob(t: Tables) -> DataFrame:
-    return t.spark.read.parquet(f"{t.folder}/document[s].parquet").agg(F.count("*").alias("n_rows"), F.count_distinct("source").alias("n_sources"))
+    from corpusmill.sources.readers import read_glob
+
+    return read_glob(t.spark, f"{t.folder}/document[s].parquet").agg(F.count("*").alias("n_rows"), F.count_distinct("source").alias("n_sources"))
 
 
 @query(rf"SELECT doc_id, sha256(trim(regexp_replace({CASEFOLD}, '\s+', ' ', 'g'))) AS key FROM documents")
@@ -66,18 +68,69 @@ def word_prefix(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(X.word_prefix("text", 850)).alias("prefix_key"))
 
 
-@query(r"""SELECT conv_id, turn, trim(regexp_replace(lower(regexp_replace(string_split(text, '</think>')[-1], '(?is)^\s*(?:sure|certainly|of course|here is|here''s)\b[^\n]*\n\s*\n', '')), '\s+', ' ', 'g')) AS clean FROM conversations""")
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'plan</think> Sure, here it is:' || chr(10) || chr(10) || text WHEN 1 THEN '**Title: x' || chr(10) || text WHEN 2 THEN text || '</think>rest </think>x' ELSE text END AS s FROM conversations),
+a AS (SELECT *, CASE WHEN contains(s, '</think>') THEN trim(substr(s, instr(s, '</think>') + 8)) ELSE s END AS v FROM c), l AS (SELECT *, list_filter(string_split(v, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM a)
+SELECT conv_id, turn, trim(regexp_replace(lower(CASE WHEN len(l) > 1 AND regexp_matches(l[1], '^[*# ]*(?:Sure|Here|Abstract|Title|I''m happy to help|Certainly)') THEN array_to_string(l[2:], chr(10)) ELSE v END), '\s+', ' ', 'g')) AS clean FROM l""")
 def strip_preamble(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", X.strip_preamble("text").alias("clean"))
+    """Turns with the wrappings that the cleaner is for."""
+    k = F.col("turn") % 4
+    s = F.when(k == 0, F.concat(F.lit("plan</think> Sure, here it is:\n\n"), "text")).when(k == 1, F.concat(F.lit("**Title: x\n"), "text")).when(k == 2, F.concat("text", F.lit("</think>rest </think>x"))).otherwise(F.col("text"))
+    return t.conversations.select("conv_id", "turn", X.strip_preamble(s).alias("clean"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^>]*>', ' ', 'g'), 'https?://(?:www\.)?([a-z0-9.-]+)\S*', ' [\1] ', 'g'), '—', ' [dash] ', 'g'), '\[[a-z0-9.-]+\]|[a-z0-9_/-]*[a-z][a-z0-9_/-]*') AS w FROM documents)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, md5(coalesce(array_to_string(w, ' '), '')) AS key FROM l""")
+@query(r"""WITH d AS (SELECT doc_id, lower(text || ' see https://www.' || source || '.example.co.uk:80/x?y=1) and http://u@localhost — snyk-js-a-12345 snyk-x __a_b/- ') AS t FROM documents),
+u AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, 'https?://[^\s<>"''`)\]}]+'), lambda u: list_filter(string_split(split_part(list_last(string_split(split_part(substr(u, instr(u, '//') + 2), '/', 1), '@')), ':', 1), '.'), lambda x: x <> '' AND x <> 'www')) AS l FROM d),
+w AS (SELECT doc_id, list_transform(l, lambda x: '[' || CASE WHEN len(x) >= 2 THEN x[-2] WHEN len(x) = 1 THEN x[1] ELSE 'link' END || '-url]') || list_transform(range(length(t) - length(replace(t, '—', ''))), lambda x: '—')
+  || list_transform(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(t, 'https?://[^\s<>"''`)\]}]+', ' ', 'g'), '<[a-z/!][^<>]*>', ' ', 'g'), '[a-z0-9_/-]*[a-z][a-z0-9_/-]*'), lambda x: regexp_replace(regexp_replace(x, '^[_/]+|[_/]+$', '', 'g'), '-+$', '')), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^snyk-.+-\d{4,}$') THEN '[snyk-id]' ELSE x END) AS w FROM u)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, md5(array_to_string(w, ' ')) AS key FROM w""")
 def lb_tokens(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", X.vocabulary_tokens("text").alias("w"))
+    text = F.concat("text", F.lit(" see https://www."), "source", F.lit(".example.co.uk:80/x?y=1) and http://u@localhost — snyk-js-a-12345 snyk-x __a_b/- "))
+    d = t.documents.select("doc_id", X.vocabulary_tokens(text).alias("w"))
     return d.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("key"))
 
 
+@query(r"""SELECT doc_id, sha256(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss')) AS key FROM documents""")
+def split_fold_key(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.split_fold_key("text").alias("key"))
+
+
+_GENERATED = "CASE doc_id % 3 WHEN 0 THEN 'A line' || chr(10) || '**Title: of it' || chr(10) || text WHEN 1 THEN '**Abstract**: ' || text || ' Methods: none -' ELSE text END"
+
+
+@query(rf"""WITH g AS (SELECT doc_id, trim({_GENERATED}) AS s FROM documents), c AS (SELECT doc_id, regexp_replace(s, '(?im)^\s*(?:\*\*)?title\s*[:\-][^\n]*\n?', '') AS s FROM g)
+SELECT doc_id, md5(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(s, '(?i)\*\*\s*(?:abstract|background|methods?|results?|conclusions?)\s*\*\*\s*[:\-]?', '', 'g'), '(?i)\b(?:abstract|background|methods?|results?|conclusions?)\s*:\s*', '', 'g'), '\s+', ' ', 'g')), '^[ \-]+|[ \-]+$', '', 'g')) AS key FROM c""")
+def clean_generated(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 3
+    s = F.when(k == 0, F.concat(F.lit("A line\n**Title: of it\n"), "text")).when(k == 1, F.concat(F.lit("**Abstract**: "), "text", F.lit(" Methods: none -"))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", F.md5(X.clean_generated(s)).alias("key"))
+
+
+@query(r"""WITH p AS (SELECT a.doc_id, len(regexp_extract_all(a.text, '\S+')) AS h, len(regexp_extract_all(b.text, '\S+')) AS g FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0)
+SELECT doc_id, CASE WHEN h < 120 OR h > 280 THEN 'length' WHEN g < 80 THEN 'short' WHEN g / h::DOUBLE < 0.6 OR g / h::DOUBLE > 1.6 THEN 'ratio' ELSE 'kept' END AS verdict FROM p""")
+def length_ratio(t: Tables) -> DataFrame:
+    """Pairs of an even document and the one after it: 120 to 280 words in the first, at least 80 in the second, 0.6 to 1.6 times as many."""
+    n = t.documents.select("doc_id", X.word_count("text").alias("n"))
+    p = n.filter("doc_id % 2 = 0").select("doc_id", F.col("n").alias("h")).join(n.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("g")), "doc_id")
+    ratio = F.col("g").cast("double") / F.col("h").cast("double")
+    return p.select("doc_id", F.when(~F.col("h").between(120, 280), "length").when(F.col("g") < 80, "short").when(~ratio.between(0.6, 1.6), "ratio").otherwise("kept").alias("verdict"))
+
+
+@query("""WITH a AS (SELECT event_id, user_id, CASE WHEN user_id % 7 = 0 THEN 'HelperBot' WHEN user_id % 11 = 0 THEN 'Community' ELSE 'user' END || user_id AS name FROM events)
+SELECT event_id FROM a WHERE NOT contains(lower(name), 'bot') AND NOT contains(lower(name), 'community')""")
+def bot_exclude(t: Tables) -> DataFrame:
+    """Rows of accounts whose name holds bot or community go; the accounts are a table of their own."""
+    name = F.concat(F.when(F.col("user_id") % 7 == 0, "HelperBot").when(F.col("user_id") % 11 == 0, "Community").otherwise("user"), F.col("user_id").cast("string"))
+    bots = t.events.select("user_id", F.lower(name).alias("name")).distinct().filter(F.contains("name", F.lit("bot")) | F.contains("name", F.lit("community")))
+    return t.events.join(bots, "user_id", "left_anti").select("event_id")
+
+
+@query("SELECT column_name AS name, (SELECT count(*) FROM documents) AS n_rows FROM (DESCRIBE documents)")
+def schema_probe(t: Tables) -> DataFrame:
+    """Names of the columns, and the number of rows from the files' footers."""
+    names = t.spark.createDataFrame([(c,) for c in t.documents.columns], "name string")
+    return names.crossJoin(F.broadcast(t.documents.agg(F.count("*").alias("n_rows"))))  # one row on the right
+
+
 @query(r"""SELECT page_id, 'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS canonical FROM pages""")
 def canonical_url(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.canonical_url("url").alias("canonical"))
@@ -117,11 +170,11 @@ def pseudonym(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.pseudonym("pseudonym:", "user_id").alias("pseudonym"))
 
 
-@query(r"""WITH r AS (SELECT doc_id, rtrim(substr(text, 1, 900)) AS s FROM documents), c AS (SELECT doc_id, s, regexp_extract(s, '(?s)^(.*[.!?])', 1) AS cut FROM r)
-SELECT doc_id, md5(CASE WHEN regexp_matches(s, '[.!?]$') THEN s WHEN length(cut) >= 300 THEN cut ELSE s END) AS key FROM c""")
+@query(r"""WITH r AS (SELECT doc_id, regexp_replace(text || CASE WHEN doc_id % 2 = 0 THEN ' and then' ELSE '' END, '^\s+|\s+$', '', 'g') AS s FROM documents), c AS (SELECT doc_id, s, regexp_extract(s, '(?s)^(.*[.!?])', 1) AS cut FROM r)
+SELECT doc_id, md5(CASE WHEN regexp_matches(s, '[.!?”"]$') THEN s WHEN length(cut) > 1 AND length(s) - length(cut) + 1 <= 300 THEN cut ELSE s END) AS key FROM c""")
 def trim_tail(t: Tables) -> DataFrame:
-    """On excerpts of 900 characters, which end anywhere."""
-    return t.documents.select("doc_id", F.md5(X.trim_tail(F.substring("text", 1, 900))).alias("key"))
+    """Whole texts, every other one broken off in a sentence."""
+    return t.documents.select("doc_id", F.md5(X.trim_tail(F.concat("text", F.when(F.col("doc_id") % 2 == 0, " and then").otherwise("")))).alias("key"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS head, substr(text, length(split_part(text, chr(10), 1)) + 2) AS rest FROM documents)

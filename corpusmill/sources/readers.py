@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def read_glob(spark: SparkSession, pattern: str) -> DataFrame:
+    """Parquet of all paths that match; none is an error."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
+        raise FileNotFoundError(pattern)
+    return spark.read.parquet(*sorted(str(f.getPath()) for f in found))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One object a line; .gz files are read as they are. A line that is no object is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -20,7 +30,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def read_csv(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     """Text columns of a CSV with quoted multi-line fields. The header must be exactly as given (a byte-order mark is ignored)."""
     df = spark.read.options(header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1).csv(path)
-    names = [c.lstrip("﻿") for c in df.columns]
+    names = [c.lstrip("\ufeff") for c in df.columns]
     if names != header:
         raise ValueError(f"the header is {names}, not {header}")
     return df.toDF(*names)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.contracts import row_sum
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
@@ -34,5 +36,14 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """(n_rows, content): a hash that doesn't depend on the order of rows or on files."""
-    return df.agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("content"))
+    """(n_rows, content): a hash that doesn't depend on the order of rows or on files; repeated rows count."""
+    return df.agg(F.count("*").alias("n_rows"), row_sum(df).alias("content"))
+
+
+def copy_files(spark: SparkSession, source: str, target: str) -> None:
+    """Files as they are, byte by byte, into a folder that doesn't exist yet."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    if b.getFileSystem(conf).exists(b):
+        raise FileExistsError(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
