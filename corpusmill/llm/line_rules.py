@@ -16,7 +16,9 @@ The lines above the limit number at most (document, line) pairs / max_docs. Up t
 never shuffled; beyond that an equivalent join is used.
 
 Nulls: a null text is empty (rejected by the base rules), null hosts form one
-host. The result has a row for each input row.
+host. Empty tables give empty results. The result has a row for each input row,
+repeated rows included; input columns with the names of results (n_words, kept,
+clean_text, ...) are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -67,9 +69,9 @@ def base_failed(min_words: int = 50, max_repeat: float = 0.5) -> Column:
 
 
 def _line_hash(host: str, line: Column) -> Column:
-    """60 bits of the MD5 of host and normalised line; null for a line without words."""
+    """64-bit hash of host and normalised line; null for a line without words."""
     norm = F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
-    return F.when(norm != "", F.conv(F.substring(F.md5(F.concat(F.col(host), F.lit("\n"), norm)), 1, 15), 16, 10).cast("long"))
+    return F.when(norm != "", F.xxhash64(F.col(host), norm))
 
 
 def _hashed(df: DataFrame, text: str, host: str) -> DataFrame:
