@@ -9,18 +9,21 @@ around each hit Myers' bit-parallel distance decides, and a second run from the
 right finds where the match starts.
 
 Items go to the tasks in blocks of at most `block_bytes` (their total is measured
-first), so any number of items works. Documents are read once per block and
-never shuffled. Items of fewer than `min_words` words are not searched: a
-shorter phrase says nothing about a leak.
+first), so any number of items works; with more than one block, the driver holds
+one at a time and documents are read once per block. Documents are never
+shuffled. `min_words` can leave out short items; by default none are.
 
 Nulls: a null text matches nothing; null and wordless items are skipped. Rows
 that repeat a document give a row each; of repeated item ids the best counts.
+`decontaminate` judges rows, not ids, so null and repeated ids make no
+difference; extra columns pass through. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
@@ -31,6 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.blocks import release
+from corpusmill.session import materialize
+
 _WORD = re.compile(r"\w+")
 
 
@@ -106,21 +112,44 @@ class Matcher:
         return [(at, *v) for at, v in best.items()]
 
 
+_last: list = [None, None]  # a worker's matcher, and the broadcast it was made from
+
+
+def _blocks(items: DataFrame, item_col: str, item_text: str, min_words: int, block_bytes: int) -> Iterator[tuple[int, list[tuple[int, list[str]]]]]:
+    """(number of blocks, words of the items of a block), one block at a time."""
+    own = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL AND item_id IS NOT NULL")
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, math.ceil(total / block_bytes))
+    for k in range(n):
+        rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toLocalIterator()
+        yield n, [(r.item_id, w) for r in rows if len(w := normal_words(r.text)) >= max(1, min_words)]
+
+
+def _matcher(held, error_rate: float) -> Matcher:
+    """The matcher of a broadcast block; a worker makes it once."""
+    if _last[0] != (held.value_id, error_rate):
+        _last[:] = (held.value_id, error_rate), Matcher(held.block.value, error_rate)
+    return _last[1]
+
+
+class _Held:
+    """A broadcast block with a name of its own."""
+
+    def __init__(self, spark, block: list):
+        self.block, self.value_id = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+
 def benchmark_matches(
-    docs: DataFrame, items: DataFrame, error_rate: float = 0.15, min_words: int = 5,
+    docs: DataFrame, items: DataFrame, error_rate: float = 0.15, min_words: int = 1,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(doc_id, item_id, distance, n_item_words, start_word, end_word) for each document and item that match."""
-    own = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL AND item_id IS NOT NULL")
-    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / block_bytes))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    names = ["doc_id", "item_id", "distance", "n_item_words", "start_word", "end_word"]
 
-    def search(block: list[tuple[int, list[str]]]) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(block)
-
+    def search(held: _Held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, error_rate)
+            matcher = _matcher(held, error_rate)
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -130,19 +159,33 @@ def benchmark_matches(
                         if item not in best or d < best[item][2]:
                             best[item] = (doc, item, d, len(pattern), a, b)
                     rows += best.values()
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, ["doc_id", "item_id", "distance", "n_item_words", "start_word", "end_word"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, names)
+
+        return texts.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
-        return texts.mapInArrow(run, "doc_id bigint, item_id bigint, distance bigint, n_item_words bigint, start_word bigint, end_word bigint")
+    out: list[DataFrame] = []
+    for n, block in _blocks(items, item_col, item_text, min_words, block_bytes):
+        found = search(_Held(docs.sparkSession, block))
+        out.append(found if n == 1 else materialize(found, "matches"))  # of several blocks, each is searched before the next is read
+    return reduce(DataFrame.unionByName, out)
 
-    parts = []
-    for k in range(blocks):
-        rows = own.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        block = [(r.item_id, w) for r in rows if len(w := normal_words(r.text)) >= min_words]
-        parts.append(search(block))
-    return reduce(DataFrame.unionByName, parts)
 
+def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = 0.15, min_words: int = 1, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+    """docs without the rows in whose text an item matches."""
+    names = docs.columns
+    schema = docs.schema
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents in which an item matches; rows with a null id stay."""
-    hit = benchmark_matches(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[id_col] == hit["__hit"], "left_anti")
+    for n, block in _blocks(items, item_col, item_text, min_words, block_bytes):
+        held = _Held(docs.sparkSession, block)
+
+        def run(batches: Iterator[pa.RecordBatch], held: _Held = held) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(held, error_rate)
+            for batch in batches:
+                clean = [t is None or not matcher.find(normal_words(t)) for t in batch.column(len(names)).to_pylist()]
+                yield pa.record_batch(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(clean, pa.bool_()))
+            release()
+
+        docs = docs.withColumn("__cm_text", F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+        if n > 1:
+            docs = materialize(docs, "clean")
+    return docs
