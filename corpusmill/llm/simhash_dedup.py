@@ -16,7 +16,9 @@ reached leaves the list, so a dense group of m near copies costs about m
 comparisons, not m squared, and yields m - 1 links that keep it connected.
 
 Nulls: a null text has no words; rows with a null doc_id are left out. Repeated
-rows come out as often as they go in.
+rows come out as often as they go in. Empty tables give empty results; of the
+input only the id appears in the result, so no names clash (`keep_one` returns
+rows as they are).
 """
 
 from __future__ import annotations
@@ -152,3 +154,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
     joined = connected_components(fingerprint_links(classes, max_bits))
     label = classes.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest id (null ids last), of repeated rows any one.
+
+    Rows are told apart by a number that is written with them, so null and repeated ids are no different from others.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    prints = materialize(simhash(rows, width, "__row", text_col).withColumnRenamed("doc_id", "__row"), "fingerprints")
+    ids = rows.select("__row", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    classes = materialize(prints.join(ids, "__row").groupBy("fp").agg(F.min("__row").alias("class"), F.min(F.struct("id", "__row")).alias("first")), "classes")
+    joined = connected_components(fingerprint_links(classes.select("fp", F.col("class").alias("id")), max_bits))
+    group = F.coalesce("component", "class")
+    stays = classes.join(joined, classes["class"] == joined["id"], "left").groupBy(group).agg(F.min("first").alias("first")).select("first.__row")
+    return rows.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
