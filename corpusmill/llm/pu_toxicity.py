@@ -79,6 +79,20 @@ def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_z: fl
     return (p >= least_rows) & ((p / len(positive) - u / len(unlabelled)) / spread > least_z)
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float, beta: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """(risk, direction for zp, direction for zu) of the class-prior-corrected estimator under the logistic loss.
+
+    The unlabelled rows' negative loss holds the positives' share of it, which is taken off. Where what is left falls below -beta
+    the fit has begun to memorise: the risk counts it as zero, and the directions are those that lift it again.
+    """
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -50, 50))), 1 / (1 + np.exp(-np.clip(zu, -50, 50)))
+    positive = prior * float(np.mean(np.logaddexp(0, -zp)))
+    negative = float(np.mean(np.logaddexp(0, zu))) - prior * float(np.mean(np.logaddexp(0, zp)))
+    if negative >= -beta:  # d L(+)/dz = s - 1, d L(-)/dz = s
+        return positive + max(0.0, negative), (prior * (sp - 1) - prior * sp) / len(zp), su / len(zu)
+    return positive, prior * sp / len(zp), -su / len(zu)
+
+
 def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
     """Slope and offset of the logistic curve of y over z, with smoothed targets; (1, 0) where z doesn't tell the labels apart."""
     n1, n0 = weight[y].sum(), weight[~y].sum()
@@ -125,13 +139,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             u_of, u_f = _rows(unlabelled, u)
             zp = np.bincount(p_of, weights=weights[p_f], minlength=len(p)) + bias
             zu = np.bincount(u_of, weights=weights[u_f], minlength=len(u)) + bias
-            sp, su = 1 / (1 + np.exp(-np.clip(zp, -50, 50))), 1 / (1 + np.exp(-np.clip(zu, -50, 50)))
-            # logistic loss: d L(+)/dz = s - 1, d L(-)/dz = s
-            negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-            if negative >= -beta:
-                gp, gu = (prior * (sp - 1) - prior * sp) / len(p), su / len(u)
-            else:
-                gp, gu = prior * sp / len(p), -su / len(u)
+            _, gp, gu = risk(zp, zu, prior, beta)
             f = np.concatenate([p_f, u_f])
             g = np.concatenate([np.repeat(gp, np.bincount(p_of, minlength=len(p))), np.repeat(gu, np.bincount(u_of, minlength=len(u)))])
             touched, where = np.unique(f, return_inverse=True)

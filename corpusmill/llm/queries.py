@@ -68,7 +68,7 @@ def op7_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars", "by_template")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +94,13 @@ ORACLES: dict[str, str] = {
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 raw AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS l FROM d),
 lines AS (SELECT doc_id, host, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
-  CAST('0x' || substr(md5(host || chr(10) || lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')))), 1, 15) AS BIGINT) AS h FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+  lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines GROUP BY doc_id),
-one AS (SELECT DISTINCT doc_id, h FROM lines),
-two AS (SELECT doc_id, h, min(h) OVER (PARTITION BY doc_id) AS a, nth_value(h, 2) OVER (PARTITION BY doc_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b FROM one),
-often AS (SELECT h FROM two GROUP BY h HAVING count(DISTINCT CASE WHEN h = a THEN coalesce(b, -1) ELSE a END) > 100),
-gone AS (SELECT doc_id, sum(n) AS n FROM lines WHERE h IN (SELECT h FROM often) GROUP BY doc_id),
+one AS (SELECT DISTINCT doc_id, host, h FROM lines),
+-- a document is its set of lines: exact copies are one
+docs AS (SELECT doc_id, md5(string_agg(h, chr(10) ORDER BY h)) AS document FROM one GROUP BY doc_id),
+often AS (SELECT host, h FROM one JOIN docs USING (doc_id) GROUP BY host, h HAVING count(DISTINCT document) > 100),
+gone AS (SELECT doc_id, sum(n) AS n FROM lines SEMI JOIN often USING (host, h) GROUP BY doc_id),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win, (SELECT unnest(range(3)) AS j) WHERE k > 1 GROUP BY doc_id),
 b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars,

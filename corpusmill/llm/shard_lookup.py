@@ -10,7 +10,9 @@ one lookup in a broadcast table whose size is the chosen prime, whatever the dat
 A placement depends on the key alone: a key that holds a third of all rows fills
 one shard, unless `spread` columns (an id, say) are hashed along with it.
 
-Nulls: a null in the key counts as its own value; every row is placed.
+Nulls: a null in the key counts as its own value; every row is placed, repeated rows
+in the same shard. Input columns slot and shard are replaced (they may be keys), all
+others pass through. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -67,5 +69,5 @@ def assign_shards(df: DataFrame, shards: list[str] | dict[str, int], key: list[s
     """df plus slot and shard; one row for each row of df, nothing is shuffled."""
     names, table = sorted(shards), lookup_table(shards, size)
     rows = df.sparkSession.createDataFrame([(i, names[s]) for i, s in enumerate(table.tolist())], "__slot int, shard string")
-    own = df.drop("slot", "shard").withColumn("slot", slot_of([*key, *(spread or [])], size))
+    own = df.withColumn("__own", slot_of([*key, *(spread or [])], size)).drop("slot", "shard").withColumnRenamed("__own", "slot")
     return own.join(F.broadcast(rows), F.col("slot") == F.col("__slot"), "left").drop("__slot")

@@ -9,7 +9,9 @@ most of its bytes, at a tie to the earlier one. A token that touches no section
 counts for section -1. So the counts of a document's sections add up to its
 tokens. (Cutting first and encoding the parts would give other tokens and sums.)
 
-Nulls: a null text has no rows; an empty section has a row with zero tokens.
+Nulls: a null text has no rows; an empty section has a row with zero tokens; null
+spans are left out. Repeated rows have their rows each. Of the input only the id
+appears in the result, so no names clash. Whole texts are encoded, however long.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def section_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
             out: list[list] = [[], [], [], [], [], []]
             spans = batch.column(2).to_pylist() if spans_col else None
             for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                cut = line_sections(text) if spans is None else [tuple(s.values()) for s in spans[k] or []]
+                cut = line_sections(text) if spans is None else [tuple(x.values()) for x in spans[k] or [] if x is not None]
                 at = np.array(cut, np.int64).reshape(-1, 2)
                 if (at[:, 0] > at[:, 1]).any() or (at[1:, 0] < at[:-1, 1]).any():
                     raise ValueError("sections must be in order and must not overlap")
