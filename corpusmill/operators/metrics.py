@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ranking import running_totals
+from corpusmill.session import materialize
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -25,7 +26,7 @@ def counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def curve(df: DataFrame) -> DataFrame:
     """(score, pos, neg, cum_pos, cum_neg, n_pos, n_neg) from the highest score down."""
-    c = counts(df)
+    c = materialize(counts(df), "scores")  # a row for each distinct score; read for the bounds, the totals and the sums
     total = c.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return running_totals(c, "score", ["pos", "neg"], descending=True).crossJoin(F.broadcast(total))  # one row on the right
 
@@ -77,6 +78,7 @@ def threshold_at(df: DataFrame, target: float, by: list[str] | None = None) -> D
         w = Window.partitionBy(*by)
         c = c.withColumns({"cum_neg": F.sum("neg").over(w.orderBy(F.col("score").desc())), "n_neg": F.sum("neg").over(w)})
     else:
+        c = materialize(c, "scores")
         total = c.agg(F.sum("neg").alias("n_neg"))
         c = running_totals(c, "score", ["neg"], descending=True).crossJoin(F.broadcast(total))  # one row on the right
     place = F.floor(F.col("n_neg") * target)
@@ -118,7 +120,7 @@ def multiclass(df: DataFrame) -> DataFrame:
 
 def recall_at_fpr(df: DataFrame, target: float) -> DataFrame:
     """(interpolated, at_or_below): recall at a false-positive rate, on the line between the curve's points around it, and at the last point that doesn't pass it."""
-    p = _points(df)
+    p = materialize(_points(df), "curve")
     last = p.filter(F.col("fpr") <= target).agg(F.max(F.struct("fpr", "tpr")).alias("a"))
     after = p.filter(F.col("fpr") > target).agg(F.min(F.struct("fpr", "tpr")).alias("b"))
     j = last.crossJoin(F.broadcast(after))  # one row on each side

@@ -46,7 +46,7 @@ def hash_totals(df: DataFrame, key: Column, tie: list[str], value: str, out: str
     return d.withColumn(out, F.col("__base_v") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("__key", "__bucket", "__base_v")
 
 
-def value_rank(df: DataFrame, by: list[str], order: str, tie: list[str] | None = None, out: str = "rank", buckets: int = 256) -> DataFrame:
+def value_rank(df: DataFrame, by: list[str], order: str, tie: list[str] | None = None, out: str = "rank", buckets: int = 128) -> DataFrame:
     """df plus each row's place within its group in the order of a number; the table's approximate quantiles bound the buckets of a group."""
     d = df.withColumn("__bucket", _bucket(df, order, buckets))
     d = _with_offsets(d, "__bucket", {"n": F.lit(1)}, by)
@@ -59,24 +59,22 @@ def _bucket(df: DataFrame, order: str, buckets: int) -> Column:
     x = F.col(order).cast("double")
     marks = df.agg(F.percentile_approx(x, F.lit([i / buckets for i in range(1, buckets)]), F.lit(20 * buckets)).alias("m")).first()[0]
     marks = sorted(set(marks or []))
-    return _place(x, marks)
+    return F.coalesce(_place(f"double(`{order}`)", marks), F.lit(0))
 
 
-def _place(x: Column, marks: list[float]) -> Column:
+def _place(x: str, marks: list[float]) -> Column:
     """width_bucket over unequal bounds, as a balanced tree of comparisons."""
-    if not marks:
-        return F.lit(0)
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(x < F.lit(marks[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return f"CASE WHEN {x} < double('{marks[mid]!r}') THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return tree(0, len(marks))
+    return F.expr(tree(0, len(marks)))
 
 
-def running_totals(df: DataFrame, order: str, values: list[str], descending: bool = False, buckets: int = 256) -> DataFrame:
+def running_totals(df: DataFrame, order: str, values: list[str], descending: bool = False, buckets: int = 128) -> DataFrame:
     """df plus cum_<value> for each value: its sum over this row and those before it in order. One row per order value is expected.
 
     Buckets are bounded by approximate quantiles of the order value, so each holds about the same number of rows wherever the values lie.

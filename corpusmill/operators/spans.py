@@ -6,10 +6,11 @@ Spans are arrays of struct<start:int,end:int,label:int>, end-exclusive, in code
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,9 +107,8 @@ def stitch(df: DataFrame, doc: str, start: str, scores: str) -> DataFrame:
     return df.select(doc, start, F.posexplode(scores).alias("__i", "__s")).groupBy(doc, (F.col(start) + F.col("__i")).alias("pos")).agg(F.round(F.avg("__s"), 9).alias("score"))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def stitched(starts: pd.Series, scores: pd.Series) -> pd.Series:
-    """The mean score of each token of a document whose windows are in one row; nothing is shuffled."""
+def stitch_rows(df: DataFrame, doc: str, starts: str, scores: str) -> DataFrame:
+    """(doc, scores): the mean score of each token of a document whose windows are in one row; nothing is shuffled."""
 
     def one(begin: np.ndarray | None, windows: np.ndarray | None) -> np.ndarray | None:
         if begin is None or windows is None:
@@ -120,7 +120,11 @@ def stitched(starts: pd.Series, scores: pd.Series) -> pd.Series:
             count[a : a + len(w)] += 1
         return total / np.maximum(count, 1)
 
-    return pd.Series([one(a, b) for a, b in zip(starts, scores, strict=True)], dtype=object)
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            yield pd.DataFrame({doc: pdf[doc], "scores": pd.Series([one(a, b) for a, b in zip(pdf[starts], pdf[scores], strict=True)], index=pdf.index, dtype=object)})
+
+    return df.select(doc, starts, scores).mapInPandas(run, f"`{doc}` {df.schema[doc].dataType.simpleString()}, scores array<double>")
 
 
 def alarm_spans(scores: Column, offsets: Column, threshold: float) -> Column:
@@ -167,6 +171,7 @@ def assembly_plan(parts: DataFrame) -> DataFrame:
 
     A document begins with its part's label and takes the following parts of the same source and label in the order of a hash, so uses
     of a part differ little. Joins hold one label, mixes both: short ones one part of each, long ones switch once, some back at the end.
+    A source without the other label gives no mixes.
     """
     ranked = hash_rank(parts, salted("assemble:", "doc_id"), ["doc_id"], "rn", ["source", "label"])
     sizes = parts.groupBy("source", "label").agg(F.count("*").alias("m"))
@@ -180,6 +185,7 @@ def assembly_plan(parts: DataFrame) -> DataFrame:
     label = F.when(F.col("kind") <= 2, F.col("first")).when(F.col("kind") == 3, F.when(F.col("i") == 0, F.col("first")).otherwise(other)).when((F.col("i") < F.col("switch")) | back, F.col("first")).otherwise(other)
     d = d.withColumn("label", label).join(sizes, ["source", "label"]).withColumn("rn", (F.col("own") + F.col("i") - 1) % F.col("m") + 1)
     d = d.join(ranked.select("source", "label", "rn", F.col("doc_id").alias("source_id"), "n"), ["source", "label", "rn"])
+    d = d.withColumn("found", F.count("*").over(Window.partitionBy("output_id"))).filter("found = parts")  # seven rows at most
     at = ((F.expr("h div 7") + F.col("i")) % 3 + 1).cast("int")
     words = F.when(F.col("kind") == 0, F.col("n")).when(F.col("kind").isin(1, 3), F.element_at(F.array(*map(F.lit, SHORT)), at)).otherwise(F.element_at(F.array(*map(F.lit, LONG)), at)).cast("int")
     name = F.element_at(F.array(*map(F.lit, CONSTRUCTIONS)), (F.col("kind") + 1).cast("int"))

@@ -11,6 +11,7 @@ from corpusmill.functions import text as X
 from corpusmill.operators import metrics as M
 from corpusmill.operators.ranking import value_rank
 from corpusmill.queries.registry import Tables, query
+from corpusmill.session import materialize
 
 _S = r"""s AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality AS label, l.toxic, len(regexp_extract_all(text, '\S{9,}'))::DOUBLE / len(regexp_extract_all(text, '\S+')) AS score FROM documents d JOIN labels l USING (doc_id))"""
 _BAND = "CASE WHEN n_chars <= 512 THEN '0001-0512' WHEN n_chars <= 1024 THEN '0513-1024' WHEN n_chars <= 2048 THEN '1025-2048' ELSE '2049+' END"
@@ -101,7 +102,7 @@ _POL = f"""pol AS (SELECT 'zero_fp' AS policy, (SELECT max(score) FROM s WHERE l
 
 def policy_cuts(t: Tables) -> DataFrame:
     """A row for each policy: no false positive, 99 % recall, one half, 2 % false positives, midpoint between separate classes. Alarms lie above the cut."""
-    s = scored(t)
+    s = materialize(scored(t), "scored")
     zero = s.filter("label = 0").agg(F.max("score").alias("cut")).select(F.lit("zero_fp").alias("policy"), "cut")
     c = M.curve(s).withColumn("__need", F.ceil(F.lit(0.99).cast("double") * F.col("n_pos")))
     recall = c.filter("cum_pos >= __need").agg((F.max("score") - F.lit(1e-12).cast("double")).alias("cut")).select(F.lit("recall_99").alias("policy"), "cut")
@@ -169,7 +170,7 @@ g AS (SELECT source, run, sum(n_chars) AS c, sum(CASE WHEN a THEN n_chars ELSE 0
 SELECT count(*) AS spans, count(*) FILTER (h > 0) AS touched, count(*) FILTER (h * 2 >= c) AS half, round(avg(abs(h / c::DOUBLE - 1)), 9) AS mae FROM g""")
 def span_recall(t: Tables) -> DataFrame:
     """Runs of positive rows in a unit: touched at all, half covered, and the error of the covered share, by characters."""
-    a = alarmed(t)
+    a = materialize(alarmed(t), "alarms")
     r = value_rank(value_rank(a, ["source"], "doc_id", out="i"), ["source", "label"], "doc_id", out="j").withColumn("run", F.col("i") - F.col("j"))
     g = r.filter("label = 1").groupBy("source", "run").agg(F.sum("n_chars").alias("c"), F.sum(F.when(F.col("alarm"), F.col("n_chars")).otherwise(0)).alias("h"))
     error = F.abs(F.col("h").cast("double") / F.col("c").cast("double") - 1)
@@ -266,9 +267,9 @@ q AS (SELECT trial, round(0.5 * (1 + (sum((x1 - x0) * (y0 + y1) / 2) - 0.00125::
 SELECT trial, round(0.7 * pauc + 0.3 * auc, 6) AS score, row_number() OVER (ORDER BY 0.7 * pauc + 0.3 * auc DESC, trial) = 1 AS best FROM a JOIN q USING (trial)""")
 def selection_score(t: Tables) -> DataFrame:
     """Three trials and the best of them."""
-    s = scored(t)
+    s = materialize(scored(t), "scored")
     trials = {"share": F.col("score"), "short": -F.col("n_chars").cast("double"), "toxic": F.col("toxic") + F.col("score") / 10}
     rows = [M.selection_score(s.withColumn("score", c)).select(F.lit(n).alias("trial"), "score") for n, c in trials.items()]
-    d = reduce(DataFrame.unionByName, rows)
+    d = materialize(reduce(DataFrame.unionByName, rows), "trials")
     best = d.agg(F.max(F.struct("score", "trial")).alias("x"))  # one row; no two trials tie
     return d.crossJoin(F.broadcast(best)).select("trial", F.round("score", 6).alias("score"), (F.col("trial") == F.col("x.trial")).alias("best"))

@@ -97,7 +97,7 @@ def window_scores(t: Tables) -> DataFrame:
 
 def stitched_scores(t: Tables) -> DataFrame:
     """(doc_id, scores)."""
-    d = window_scores(t).select("doc_id", S.stitched("starts", "scores").alias("scores"))
+    d = S.stitch_rows(window_scores(t), "doc_id", "starts", "scores")
     return d.select("doc_id", F.transform("scores", lambda x: F.round(x, 9)).alias("scores"))
 
 
@@ -117,12 +117,12 @@ def span_scores(t: Tables) -> DataFrame:
     return s.select("doc_id", F.size("scores").cast("long").alias("n"), F.round(F.array_max("scores"), 6).alias("top"), F.size(F.filter("scores", lambda x: x >= 0.9)).cast("long").alias("over")).filter("n > 0")
 
 
-@query(f"WITH {_SCORES}, m AS (SELECT doc_id, s, avg(length(w[pos + 1])::DOUBLE / 10 + (s % 7)::DOUBLE / 100) AS m FROM ps GROUP BY 1, 2) SELECT doc_id, count(*) AS n_windows, round(avg(m), 6) AS score FROM m GROUP BY 1")
+@query(f"WITH {_SCORES}, m AS (SELECT doc_id, s, avg(length(w[pos + 1])::DOUBLE / 10 + (s % 7)::DOUBLE / 100) AS m FROM ps GROUP BY 1, 2) SELECT doc_id, count(*) AS n_windows, round(avg(m), 12) AS score FROM m GROUP BY 1")
 def window_mean(t: Tables) -> DataFrame:
     """A document's score: the mean of its windows' mean scores."""
     mean = lambda x: F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + v) / F.size(x)
     d = window_scores(t).select("doc_id", F.filter("scores", lambda x: F.size(x) > 0).alias("x")).filter(F.size("x") > 0)
-    return d.select("doc_id", F.size("x").cast("long").alias("n_windows"), F.round(mean(F.transform("x", mean)), 6).alias("score"))
+    return d.select("doc_id", F.size("x").cast("long").alias("n_windows"), F.round(mean(F.transform("x", mean)), 12).alias("score"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, lang, source, regexp_extract_all(text, '\S+') AS w FROM documents), st AS (SELECT DISTINCT doc_id, lang, source, w, s FROM (SELECT *, unnest(range(0, greatest(len(w) - 512, 0) + 1, 256)) AS s FROM w UNION ALL SELECT *, greatest(len(w) - 512, 0) FROM w)),
@@ -227,7 +227,7 @@ d AS (SELECT doc_id AS output_id, source, label AS first, CAST(CAST('0x' || subs
 p AS (SELECT *, {_NAMES}[h % 5 + 1] AS construction, CASE h % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 + h // 5 % 2 WHEN 2 THEN 5 + h // 5 % 3 WHEN 3 THEN 2 ELSE 5 + h // 5 % 3 END AS parts FROM d),
 q AS (SELECT *, 1 + h // 15 % greatest(parts - 2, 1) AS switch, unnest(range(parts)) AS i FROM p),
 l AS (SELECT *, CASE WHEN h % 5 <= 2 THEN first WHEN h % 5 = 3 THEN CASE WHEN i = 0 THEN first ELSE 1 - first END WHEN i < switch THEN first WHEN i = parts - 1 AND parts >= 6 AND h // 105 % 2 = 0 THEN first ELSE 1 - first END AS label FROM q),
-s AS (SELECT output_id, construction, i, l.label, r.doc_id AS source_id, CASE WHEN h % 5 = 0 THEN r.n WHEN h % 5 IN (1, 3) THEN [50, 90, 140][(h // 7 + i) % 3 + 1] ELSE [90, 140, 200][(h // 7 + i) % 3 + 1] END AS k, r.n, h FROM l JOIN r ON r.source = l.source AND r.label = l.label AND r.rn = (l.rn + i - 1) % r.m + 1)"""
+s AS (SELECT output_id, construction, i, l.label, r.doc_id AS source_id, CASE WHEN h % 5 = 0 THEN r.n WHEN h % 5 IN (1, 3) THEN [50, 90, 140][(h // 7 + i) % 3 + 1] ELSE [90, 140, 200][(h // 7 + i) % 3 + 1] END AS k, r.n, h FROM l JOIN r ON r.source = l.source AND r.label = l.label AND r.rn = (l.rn + i - 1) % r.m + 1 QUALIFY count(*) OVER (PARTITION BY output_id) = parts)"""
 
 
 @query(f"WITH {_ASSEMBLED} SELECT output_id, construction, CAST(i AS INT) AS i, label, source_id, CAST(k AS INT) AS n_words, CAST((h // 11 + i) % (n - k + 1) AS BIGINT) AS first_word FROM s")

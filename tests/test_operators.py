@@ -77,12 +77,12 @@ def test_token_labels(spark):
 def test_stitched_scores(spark):
     rng = random.Random(6)
     rows = [(i, [0, 3, 5], [[rng.random() for _ in range(k)] for k in (4, 4, 3)]) for i in range(5)]
-    got = spark.createDataFrame(rows, "i int, s array<int>, w array<array<double>>").select("i", X.stitched("s", "w").alias("m")).collect()
-    for r in got:
+    got = spark.createDataFrame(rows, "i int, s array<int>, w array<array<double>>")
+    for r in X.stitch_rows(got, "i", "s", "w").collect():
         starts, windows = rows[r.i][1:]
         for pos in range(8):
             own = [w[pos - a] for a, w in zip(starts, windows, strict=True) if a <= pos < a + len(w)]
-            assert abs(r.m[pos] - sum(own) / len(own)) < 1e-12
+            assert abs(r.scores[pos] - sum(own) / len(own)) < 1e-12
 
 
 def event(source, *ops, **more):
