@@ -174,11 +174,9 @@ def excerpt(t: Tables) -> DataFrame:
 
 def excerpts(t: Tables, k: int) -> DataFrame:
     h = F.conv(F.substring(X.salted("excerpt:", "doc_id"), 1, 8), 16, 10).cast("long")
-    d = t.documents.select("doc_id", "text", S.word_offsets("text").alias("o"), h.alias("h")).filter(F.size("o") >= k)
-    d = d.withColumn("first_word", F.col("h") % (F.size("o") - k + 1))
-    a = F.element_at("o", (F.col("first_word") + 1).cast("int"))["start"]
-    b = F.element_at("o", (F.col("first_word") + k).cast("int"))["end"]
-    return d.select("doc_id", "first_word", a.alias("start"), b.alias("end"), F.col("text").substr(a + 1, b - a).alias("cut"))
+    d = t.documents.select("doc_id", "text", S.hashed_run("text", h, F.lit(k).cast("long")).alias("o")).filter("o IS NOT NULL")
+    a, b = F.col("o.start"), F.col("o.end")
+    return d.select("doc_id", "o.first_word", a.alias("start"), b.alias("end"), F.col("text").substr(a + 1, b - a).alias("cut"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS w, CAST('0x' || substr(sha256('excerpt:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents), k AS (SELECT doc_id, w, h % (len(w) - 511) AS f FROM w WHERE len(w) >= 512),

@@ -48,3 +48,42 @@ def test_vocabulary_and_nearest_rows(spark, monkeypatch):
             assert (i in got) == bool(all_)
             if all_:
                 assert got[i] == (min(all_)[1], pytest.approx(-min(all_)[0], abs=1.1e-6))
+
+
+@pytest.mark.parametrize("name", ["excerpt", "bounded_excerpt", "assemble_docs"])
+def test_a_text_is_read_once_for_its_excerpt(spark, name):
+    p = plan(spark, name)
+    assert p.count("ArrowEvalPython") == 1 and "array<struct<start" not in p
+
+
+@pytest.mark.parametrize("name", ["predicted_spans", "span_bins", "span_token_label", "tokens_within"])
+def test_words_are_no_python_objects(spark, name):
+    p = plan(spark, name)
+    assert "ArrowEvalPython" in p and "word_offsets" in p
+    from corpusmill.operators import spans as S
+    from pyspark.util import PythonEvalType
+
+    assert S.word_offsets.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def test_word_places(spark):
+    from corpusmill.operators import spans as S
+
+    rows = [(None,), ("",), (" \t\n",), ("one",), ("  a😀b c \x0b d\r\ne ",)]
+    got = [r.o for r in spark.createDataFrame(rows, "t string").select(S.word_offsets("t").alias("o")).collect()]
+    assert [[(x.start, x.end) for x in o] for o in got] == [[], [], [], [(0, 3)], [(2, 7), (10, 11), (13, 14)]]
+
+
+def test_labels_and_tokens_of_spans_in_any_order(spark):
+    from corpusmill.operators import spans as S
+
+    words = [(0, 3), (4, 9), (10, 12), (13, 20)]
+    cases = [[], [(0, 9, 1), (9, 20, 0)], [(13, 20, 0), (0, 5, 1), (5, 9, 1)], [(0, 5, 1), (5, 20, 0)], [(2, 15, 1), (4, 9, 0)], None]
+    df = spark.createDataFrame([(words, c) for c in cases], "o array<struct<start:int,end:int>>, s array<struct<start:int,end:int,label:int>>")
+    for r, spans in zip(df.coalesce(1).select(S.token_labels(F.col("o"), F.col("s")).alias("y"), S.tokens_inside(F.col("o"), F.col("s")).alias("k")).collect(), cases, strict=True):
+        if spans is None:
+            assert r.y is None and r.k is None
+            continue
+        hits = [{c for a, b, c in spans if a < e and b > s} for s, e in words]
+        assert r.y == [next(iter(h)) if len(h) == 1 else S.MASKED for h in hits]
+        assert [(x.start, x.end) for x in r.k] == [w for w in words if any(a <= w[0] and b >= w[1] for a, b, _ in spans)]
