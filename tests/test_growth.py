@@ -1,5 +1,6 @@
 """What grows with the tables: no exploded terms or fingerprints in shuffles of ids, and no objects for single words."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -87,3 +88,30 @@ def test_labels_and_tokens_of_spans_in_any_order(spark):
         hits = [{c for a, b, c in spans if a < e and b > s} for s, e in words]
         assert r.y == [next(iter(h)) if len(h) == 1 else S.MASKED for h in hits]
         assert [(x.start, x.end) for x in r.k] == [w for w in words if any(a <= w[0] and b >= w[1] for a, b, _ in spans)]
+
+
+def test_fingerprints_of_a_text_stay_in_its_row(spark):
+    for name in ("shingles", "sampled_shingles"):
+        assert "Exchange" not in plan(spark, name)
+
+
+def test_screen_by_brute_force(spark):
+    from corpusmill.operators import overlap as O
+
+    sets = {i: [(i * k) % 11 for k in range(i % 4)] for i in range(30)}
+    sets[30] = sets[7]
+    df = spark.createDataFrame([(i, sorted(set(s))) for i, s in sets.items()], "id bigint, hs array<bigint>")
+    got = O.screen_in_order(df, "id", F.sha2(F.concat((F.col("id") % 10).cast("string"), F.col("id").cast("string")), 256))
+    key = lambda i: hashlib.sha256(f"{i % 10}{i}".encode()).hexdigest()
+    want = {i for i, s in sets.items() if s and not any(set(s) & set(sets[j]) for j in sets if key(j) < key(i))}
+    assert {r.id for r in got.collect()} == want
+    assert "md5" not in plan(spark, "greedy_screen")
+
+
+def test_groups_beyond_one_word_of_bits(spark):
+    from corpusmill.operators import overlap as O
+
+    df = spark.createDataFrame([(f"g{i:03}", f"a{i // 2} b c") for i in range(140)] + [(None, "a0 b c")], "g string, text string")
+    got = {(r.g_a, r.g_b): r.hits for r in O.shared_between(df, "g", 3).collect()}
+    assert got == {(f"g{i:03}", f"g{i + 1:03}"): 1 for i in range(0, 140, 2)}
+    assert "md5" not in plan(spark, "source_overlap")
