@@ -10,40 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from corpusmill.functions.text import casefold, tokens
+from corpusmill.operators.terms import Runs, row_weights, vocabulary
 from corpusmill.session import new_folder
 
 
-def char_ngrams(text: str | Column, low: int = 3, high: int = 5) -> Column:
-    """All runs of low to high characters; a look-ahead matches at each place, so this is one pass for each length."""
-    t = casefold(text)
-    return F.concat(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)])
+def char_ngrams(text: str | Column, low: int = 3, high: int = 5) -> Runs:
+    """All runs of low to high characters."""
+    return Runs(casefold(text), tuple(range(low, high + 1)))
 
 
-def word_ngrams(text: str | Column) -> Column:
+def word_ngrams(text: str | Column) -> Runs:
     """Words of two characters and more, and pairs of neighbours."""
-    w = F.filter(tokens(text), lambda x: F.length(x) >= 2)
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, pairs)
+    return Runs(F.filter(tokens(text), lambda x: F.length(x) >= 2), (1, 2))
 
 
-def tfidf_vectors(train: DataFrame, rows: DataFrame, id_col: str, grams: Column, min_df: int = 3, most: int = 200_000) -> DataFrame:
+def tfidf_vectors(train: DataFrame, rows: DataFrame, id_col: str, grams: Runs | Column, min_df: int = 3, most: int = 200_000) -> DataFrame:
     """(id, features): sublinear TF times smoothed IDF, length one, written to the shared folder.
 
     The vocabulary, the `most` terms that occur most often in train (a parameter of the model), and the IDF come from train.
+    An array column holds its terms as they are.
     """
-    terms = lambda df: df.select(id_col, F.explode(grams).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    n = train.agg(F.count("*").alias("n"))
-    df = terms(train).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).filter(F.col("df") >= min_df).orderBy(F.col("all").desc(), "term").limit(most)
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    at = idf.withColumn("at", F.row_number().over(Window.orderBy("term")) - 1)  # at most `most` rows
-    size = at.count()
-    w = terms(rows).join(F.broadcast(at), "term").select(id_col, "at", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-    packed = w.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    full = rows.select(id_col).join(packed, id_col, "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<at:int,w:double>>")))
-    # the fields that a sparse vector is stored as; read back, the column is one, and no row passes through Python
-    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform("x", lambda e: e["at"].cast("int")).alias("indices"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("values"))
+    grams = grams if isinstance(grams, Runs) else Runs(grams, (1,))
+    v = vocabulary(train, grams, min_df, most, in_order=True)
+    # the fields that a sparse vector is stored as; read back, the column is one
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(len(v)).alias("size"), F.col("at").alias("indices"), F.col("w").alias("values"))
     path = new_folder(rows.sparkSession, "tfidf")
-    full.select(id_col, parts.alias("features")).write.parquet(path)
+    row_weights(rows, id_col, grams, v).select(id_col, parts.alias("features")).write.parquet(path)
     schema = StructType([rows.schema[id_col], StructField("features", VectorUDT())])
     return rows.sparkSession.read.schema(schema).parquet(path)
 
