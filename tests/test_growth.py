@@ -115,3 +115,14 @@ def test_groups_beyond_one_word_of_bits(spark):
     got = {(r.g_a, r.g_b): r.hits for r in O.shared_between(df, "g", 3).collect()}
     assert got == {(f"g{i:03}", f"g{i + 1:03}"): 1 for i in range(0, 140, 2)}
     assert "md5" not in plan(spark, "source_overlap")
+
+
+def test_blocks_of_pages_are_arrow_arrays(spark):
+    from pyspark.util import PythonEvalType
+
+    from corpusmill.functions import pandas_text as P
+
+    pages = [None, "", *(f"<p>a{i}</p><p>b &amp; c" for i in range(150))]
+    got = [[(b.tag, b.text) for b in r.b] for r in spark.createDataFrame([(p,) for p in pages], "h string").coalesce(1).select(P.html_blocks("h").alias("b")).collect()]
+    assert got == [[] if p is None else P.own_blocks(p) for p in pages]
+    assert P.html_blocks.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
