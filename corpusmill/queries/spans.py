@@ -89,9 +89,9 @@ def repeat2(t: Tables) -> DataFrame:
 
 def window_scores(t: Tables) -> DataFrame:
     """(doc_id, starts, scores): a document's windows of 64 words, 32 apart, each word scored by its length and the window's start."""
-    d = t.documents.select("doc_id", X.words("text").alias("w"))
+    d = t.documents.select("doc_id", F.transform(X.words("text"), F.length).alias("w"))
     d = d.select("doc_id", "w", S.window_starts(F.size("w"), 64, 32).alias("starts"))
-    score = lambda at: F.transform(F.slice("w", at + 1, F.lit(64)), lambda w: F.length(w).cast("double") / 10 + (at % 7).cast("double") / 100)
+    score = lambda at: F.transform(F.slice("w", at + 1, F.lit(64)), lambda n: n.cast("double") / 10 + (at % 7).cast("double") / 100)
     return d.select("doc_id", "starts", F.transform("starts", score).alias("scores"))
 
 
@@ -114,15 +114,17 @@ def stitch_scores(t: Tables) -> DataFrame:
 def span_scores(t: Tables) -> DataFrame:
     """A ragged score cache, one row of arrays per document, summed up."""
     s = stitched_scores(t)
-    return s.select("doc_id", F.size("scores").cast("long").alias("n"), F.round(F.array_max("scores"), 6).alias("top"), F.size(F.filter("scores", lambda x: x >= 0.9)).cast("long").alias("over")).filter("n > 0")
+    n = F.size("scores") + 0 * F.monotonically_increasing_id()  # the row number, times zero, keeps the filter behind the rounded scores
+    return s.select("doc_id", n.alias("n"), F.round(F.array_max("scores"), 6).alias("top"), F.size(F.filter("scores", lambda x: x >= 0.9)).cast("long").alias("over")).filter("n > 0")
 
 
 @query(f"WITH {_SCORES}, m AS (SELECT doc_id, s, avg(length(w[pos + 1])::DOUBLE / 10 + (s % 7)::DOUBLE / 100) AS m FROM ps GROUP BY 1, 2) SELECT doc_id, count(*) AS n_windows, round(avg(m), 12) AS score FROM m GROUP BY 1")
 def window_mean(t: Tables) -> DataFrame:
     """A document's score: the mean of its windows' mean scores."""
     mean = lambda x: F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + v) / F.size(x)
-    d = window_scores(t).select("doc_id", F.filter("scores", lambda x: F.size(x) > 0).alias("x")).filter(F.size("x") > 0)
-    return d.select("doc_id", F.size("x").cast("long").alias("n_windows"), F.round(mean(F.transform("x", mean)), 12).alias("score"))
+    d = window_scores(t).select("doc_id", F.transform(F.filter("scores", lambda x: F.size(x) > 0), mean).alias("m"))
+    d = d.select("doc_id", (F.size("m") + 0 * F.monotonically_increasing_id()).alias("n_windows"), F.when(F.size("m") > 0, F.round(mean(F.col("m")), 12)).alias("score"))
+    return d.filter("n_windows > 0")  # the row number, times zero, keeps the filter here; below the windows it would work out the words again for each
 
 
 @query(r"""WITH w AS (SELECT doc_id, lang, source, regexp_extract_all(text, '\S+') AS w FROM documents), st AS (SELECT DISTINCT doc_id, lang, source, w, s FROM (SELECT *, unnest(range(0, greatest(len(w) - 512, 0) + 1, 256)) AS s FROM w UNION ALL SELECT *, greatest(len(w) - 512, 0) FROM w)),

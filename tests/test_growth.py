@@ -126,3 +126,7 @@ def test_blocks_of_pages_are_arrow_arrays(spark):
     got = [[(b.tag, b.text) for b in r.b] for r in spark.createDataFrame([(p,) for p in pages], "h string").coalesce(1).select(P.html_blocks("h").alias("b")).collect()]
     assert got == [[] if p is None else P.own_blocks(p) for p in pages]
     assert P.html_blocks.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def test_words_are_taken_once_for_all_windows(spark):
+    assert plan(spark, "window_mean").count("regexp_extract_all") == 1  # a filter below the windows would take them again for each
