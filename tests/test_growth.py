@@ -130,3 +130,14 @@ def test_blocks_of_pages_are_arrow_arrays(spark):
 
 def test_words_are_taken_once_for_all_windows(spark):
     assert plan(spark, "window_mean").count("regexp_extract_all") == 1  # a filter below the windows would take them again for each
+
+
+def test_titles_of_few_texts_at_a_time(spark):
+    from pyspark.util import PythonEvalType
+
+    from corpusmill.functions import pandas_text as P
+
+    rows = [(None, "a"), ("one\ntwo", None), ("", ""), *((f"Title: A study of {i}\n we show {i}\n\n so", f"a Study of {i}" if i % 2 else "x") for i in range(150))]
+    got = [r.y for r in spark.createDataFrame(rows, "s string, t string").coalesce(1).select(P.drop_title("s", "t").alias("y")).collect()]
+    assert got == [None if s is None else P.without_title(s, t or "") for s, t in rows]
+    assert P.drop_title.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
