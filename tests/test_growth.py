@@ -157,3 +157,43 @@ def test_windows_are_stitched_from_arrow_arrays(spark):
     for name in ("stitch_scores", "span_scores"):
         assert "MapInArrow" in plan(spark, name) and "MapInPandas" not in plan(spark, name)
     assert plan(spark, "span_scores").count("round(") == 2
+
+
+def test_runs_are_hashed_from_hashed_words(spark):
+    from corpusmill.operators import overlap as O
+
+    texts = [None, [], ["a"], *([f"w{(i * k * k + k) % (2 + i % 5)}" for k in range(i % 60)] for i in range(120))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, w array<string>").coalesce(1)
+    for width in (1, 2, 5, 13, 24):
+        got = {r.id: r.hs for r in df.select("id", O.runs_of("w", width).alias("hs")).collect()}
+        runs = {i: {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if w else set() for i, w in enumerate(texts)}
+        assert all(len(got[i]) == len(set(got[i])) == len(r) for i, r in runs.items())
+        assert len({h for hs in got.values() for h in hs}) == len(set().union(*runs.values()))  # equal runs of different texts have one hash
+    assert "xxhash64(slice" not in plan(spark, "near_dup_classes")
+
+
+def test_shared_fingerprints_by_brute_force(spark, monkeypatch):
+    from corpusmill.operators import overlap as O
+
+    monkeypatch.setattr(O, "BLOCK", 50)  # several blocks
+    sets = {i: sorted({(i * k * k) % 97 * 2**40 for k in range(i % 9)}) for i in range(90)}
+    df = spark.createDataFrame([(i, s) for i, s in sets.items()], "id bigint, hs array<bigint>")
+    held = Counter(h for s in sets.values() for h in s)
+    found = O.shared_fingerprints(df, sum(map(len, sets.values())))
+    p = found._jdf.queryExecution().executedPlan().toString()
+    assert p.count("Exchange") == 1 and "Generate" not in p  # a row of the shuffle is a block
+    assert sorted((r.id, r.h, r.df) for r in found.collect()) == sorted((i, h, held[h]) for i, s in sets.items() for h in s if held[h] > 1)
+
+
+def test_sets_are_not_shuffled_for_their_classes(spark, monkeypatch):
+    from corpusmill.operators import overlap as O
+
+    held = []
+    monkeypatch.setattr(O, "materialize", lambda df, name: held.append((name, df._jdf.queryExecution().executedPlan().toString())) or df.persist())
+    monkeypatch.setattr(O, "discard", lambda df: None)
+    sets = spark.createDataFrame([(i, [i // 2, 100 + i // 4, 7]) for i in range(12)], "id bigint, hs array<bigint>")
+    for few in (O.HELD, 0):
+        monkeypatch.setattr(O, "HELD", few)
+        assert {(r.a, r.b, r.common) for r in O.overlap_pairs(sets, "id", "union", 0.5).collect()} == {(0, 2, 2), (4, 6, 2), (8, 10, 2)}
+    assert {n for n, _ in held} >= {"classes", "others", "shared"}
+    assert not any("hs" in line for n, p in held if n in ("classes", "others") for line in p.splitlines() if "Exchange" in line)
