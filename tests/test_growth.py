@@ -197,3 +197,8 @@ def test_sets_are_not_shuffled_for_their_classes(spark, monkeypatch):
         assert {(r.a, r.b, r.common) for r in O.overlap_pairs(sets, "id", "union", 0.5).collect()} == {(0, 2, 2), (4, 6, 2), (8, 10, 2)}
     assert {n for n, _ in held} >= {"classes", "others", "shared"}
     assert not any("hs" in line for n, p in held if n in ("classes", "others") for line in p.splitlines() if "Exchange" in line)
+
+
+def test_fingerprints_of_pages_are_shuffled_in_blocks(spark):
+    p = plan(spark, "internal_overlap")
+    assert "md5" not in p and "Generate" not in p
