@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from corpusmill.session import materialize
 
 
+#: Rows and queries whose products are held at once (8 bytes each, several times over).
+TILE = (1024, 512)
+
+
 def nearest_vectors(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, block: int = 4096) -> DataFrame:
     """(query_id, id, cosine): the base row nearest to each query, itself left out; the smallest id at a tie.
 
@@ -39,15 +43,18 @@ def nearest_vectors(queries: DataFrame, base: DataFrame, id_col: str, vec_col: s
                 if not len(own) or not len(ids):
                     continue
                 values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-                for at in range(0, len(own), 4096):
-                    part = own[at : at + 4096]
+                for at in range(0, len(own), TILE[0]):
+                    part = own[at : at + TILE[0]]
                     order = np.argsort(part, kind="stable")
-                    sims = np.round(m @ unit(values[at : at + 4096][order]).T, 6)
-                    sims[ids[:, None] == part[order][None, :]] = -2.0
-                    k = sims.argmax(axis=1)
-                    top, who = sims[np.arange(len(ids)), k], part[order][k]
-                    better = (top > best) | ((top == best) & (who < where))
-                    best, where = np.where(better, top, best), np.where(better, who, where)
+                    part, other = part[order], unit(values[at : at + TILE[0]][order]).T
+                    for q in range(0, len(ids), TILE[1]):
+                        mine = slice(q, q + TILE[1])
+                        sims = np.round(m[mine] @ other, 6)
+                        sims[ids[mine, None] == part[None, :]] = -2.0
+                        k = sims.argmax(axis=1)
+                        top, who = sims[np.arange(len(k)), k], part[k]
+                        better = (top > best[mine]) | ((top == best[mine]) & (who < where[mine]))
+                        best[mine], where[mine] = np.where(better, top, best[mine]), np.where(better, who, where[mine])
             seen = best > -2.0
             yield pa.record_batch([pa.array(ids[seen]), pa.array(where[seen]), pa.array(best[seen])], ["query_id", "id", "cosine"])
 

@@ -202,3 +202,21 @@ def test_sets_are_not_shuffled_for_their_classes(spark, monkeypatch):
 def test_fingerprints_of_pages_are_shuffled_in_blocks(spark):
     p = plan(spark, "internal_overlap")
     assert "md5" not in p and "Generate" not in p
+
+
+def test_products_of_few_rows_and_queries_at_a_time(spark, monkeypatch):
+    import numpy as np
+
+    from corpusmill.operators import neighbours as N
+
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(1500, 3)), 1)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").coalesce(1)
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    sims = np.round(unit[:600] @ unit.T, 6)
+    sims[np.arange(600), np.arange(600)] = -2
+    got = {r.query_id: (r.id, r.cosine) for r in N.nearest_vectors(df.filter("id < 600"), df, "id", "v").collect()}
+    assert {q: c for q, (_, c) in got.items()} == {q: pytest.approx(s.max(), abs=1.1e-6) for q, s in enumerate(sims)}
+    assert all(i == s.argmax() for (q, (i, _)), s in zip(sorted(got.items()), sims, strict=True))
+    assert N.TILE[0] * N.TILE[1] * 8 <= 1 << 22
