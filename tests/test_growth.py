@@ -220,3 +220,15 @@ def test_products_of_few_rows_and_queries_at_a_time(spark, monkeypatch):
     assert {q: c for q, (_, c) in got.items()} == {q: pytest.approx(s.max(), abs=1.1e-6) for q, s in enumerate(sims)}
     assert all(i == s.argmax() for (q, (i, _)), s in zip(sorted(got.items()), sims, strict=True))
     assert N.TILE[0] * N.TILE[1] * 8 <= 1 << 22
+
+
+def test_sampled_fingerprints_where_they_lie(spark):
+    from corpusmill.operators import overlap as O
+
+    texts = [None, "", "Straße ÄB c", *(" ".join(f"w{(i * k) % 31}é" for k in range(i)) for i in range(60))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
+    for width in (2, 24):
+        got = O.sampled_fingerprints(df, ["id"], width=width)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, O.fingerprints(df, "id", width=width, sampled=True).collect()))
+    p = got._jdf.queryExecution().executedPlan().toString()
+    assert "md5(" not in p and p.count("ArrowEvalPython") == 1
