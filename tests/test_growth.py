@@ -222,13 +222,16 @@ def test_products_of_few_rows_and_queries_at_a_time(spark, monkeypatch):
     assert N.TILE[0] * N.TILE[1] * 8 <= 1 << 22
 
 
-def test_sampled_fingerprints_where_they_lie(spark):
+def test_sampled_fingerprints_where_they_lie(spark, monkeypatch):
+    from corpusmill.functions.text import tokens
     from corpusmill.operators import overlap as O
 
     texts = [None, "", "Straße ÄB c", *(" ".join(f"w{(i * k) % 31}é" for k in range(i)) for i in range(60))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
     for width in (2, 24):
-        got = O.sampled_fingerprints(df, ["id"], width=width)
+        got = df.select("id", F.array_join(tokens("text"), " ").alias("w")).select("id", F.explode(O._sampled("w", F.lit(width))).alias("h"))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, O.fingerprints(df, "id", width=width, sampled=True).collect()))
-    p = got._jdf.queryExecution().executedPlan().toString()
-    assert "md5(" not in p and p.count("ArrowEvalPython") == 1
+    plans = []
+    monkeypatch.setattr(O, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    plan(spark, "intake_report")
+    assert len(plans) == 1 and "md5(" not in plans[0] and plans[0].count("regexp_extract_all") == 3  # once for candidates and for each of two references
