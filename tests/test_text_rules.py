@@ -124,6 +124,19 @@ def test_sections(spark):
     assert [r.text for r in I.sections(df, "d", "at").orderBy("at").collect()] == ["before", "one", "two", "three", "four"]
 
 
+def test_html_sections_leave_nothing_out(spark, tmp_path):
+    """Blocks behind the references, under the contents and equal to the one before stay, and headings of the fifth level are headings."""
+    from hashlib import md5
+
+    from corpusmill.queries.registry import QUERIES
+
+    html = "<p>first</p><h1>Title</h1><p>Title</p><p>one</p><p>one</p><h2>Contents</h2><p>list</p><h5>Deep</h5><p>two</p><h2>References</h2><p>book</p><h2>More</h2><li>last</li>"
+    spark.createDataFrame([(1, html), (2, None)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["html_sections"](spark, str(tmp_path)).orderBy("place").collect()
+    want = [(None, "first", True), ("Title", "Title", True), ("Title", "one", True), ("Title", "one", True), ("Contents", "list", False), ("Deep", "two", True), ("References", "book", False), ("More", "last", False)]
+    assert [(r.heading, r.key, r.inside) for r in got] == [(h, md5(x.encode()).hexdigest(), i) for h, x, i in want]
+
+
 def test_file_sources(spark, tmp_path):
     from corpusmill.sources import documents as D
     from corpusmill.sources import readers as RD
