@@ -102,7 +102,7 @@ def confusion(df: DataFrame, alarm: Column, by: list[str] | None = None) -> Data
 def with_cut(df: DataFrame, cut: DataFrame, by: list[str] | None = None) -> DataFrame:
     """df with the alarm of each row under its threshold (a row for each group, or one row)."""
     d = df.join(F.broadcast(cut), by, "left") if by else df.crossJoin(F.broadcast(cut))
-    return d.withColumn("alarm", F.coalesce(F.col("score") > F.col("cut"), F.lit(True)))
+    return d.withColumn("alarm", F.when(F.col("score").isNotNull(), F.coalesce(F.col("score") > F.col("cut"), F.lit(True))))  # no score, no verdict
 
 
 def multiclass(df: DataFrame) -> DataFrame:

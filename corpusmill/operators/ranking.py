@@ -57,7 +57,7 @@ def value_rank(df: DataFrame, by: list[str], order: str, tie: list[str] | None =
 def _bucket(df: DataFrame, order: str, buckets: int) -> Column:
     """The bucket of a value: how many of the table's approximate quantiles lie below it. An outlier moves no other row."""
     x = F.col(order).cast("double")
-    marks = df.agg(F.percentile_approx(x, F.lit([i / buckets for i in range(1, buckets)]), F.lit(20 * buckets)).alias("m")).first()[0]
+    marks = df.agg(F.percentile_approx(F.when(~F.isnan(x), x), F.lit([i / buckets for i in range(1, buckets)]), F.lit(20 * buckets)).alias("m")).first()[0]
     marks = sorted(set(marks or []))
     return F.coalesce(_place(f"double(`{order}`)", marks), F.lit(0))
 

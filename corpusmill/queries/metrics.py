@@ -18,7 +18,8 @@ _BAND = "CASE WHEN n_chars <= 512 THEN '0001-0512' WHEN n_chars <= 1024 THEN '05
 
 
 def scored(t: Tables) -> DataFrame:
-    share = F.size(F.regexp_extract_all("text", F.lit(r"(\S{9,})"), F.lit(1))).cast("double") / F.size(X.words("text"))
+    long, words = (F.regexp_count("text", F.lit(p)) for p in (r"\S{9,}", r"\S+"))
+    share = F.when(words == 0, F.lit(float("nan"))).otherwise(long.cast("double") / words)  # as the SQL has it: above every score
     return t.documents.select("doc_id", "lang", "source", "n_chars", share.alias("score")).join(t.labels.select("doc_id", F.col("quality").alias("label"), "toxic"), "doc_id")
 
 

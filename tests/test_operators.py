@@ -202,3 +202,18 @@ def test_streaming_dedup(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("cm_dedup").count() == 2
+
+
+def test_confusion_of_texts_without_words(spark, tmp_path):
+    """A text without words has no share to divide; it is above every score, as in the SQL, and a null text has no score."""
+    from corpusmill.queries.registry import QUERIES
+
+    rows = [(i, " ".join(["longerwords" if (i * j) % 7 < 3 else "ab" for j in range(1, 9)]), "en", "s", 50) for i in range(100)] + [(100, "", "en", "s", 0), (101, " \n", "en", "s", 2), (103, None, "en", "s", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(104)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = [1 if i == 101 or i == 100 else sum((i * j) % 7 < 3 for j in range(1, 9)) / 8 for i in range(102)]
+    cut = sorted((s + (i == 100) for i, s in enumerate(score) if i % 2 == 0), reverse=True)[1]  # place floor(0.02 * 51)
+    alarm = [s + (i >= 100) > cut for i, s in enumerate(score)]
+    want = [sum(a == x and i % 2 == y for i, a in enumerate(alarm)) for y, x in ((1, True), (0, True), (1, False), (0, False))]
+    r = QUERIES["confusion"](spark, str(tmp_path)).first()
+    assert [r.tp, r.fp, r.fn, r.tn] == want
