@@ -94,7 +94,7 @@ def fit_blocks(blocks: DataFrame, size: int, c: float = 4.0, rounds: int = 1000,
     """The minimum of |weights|² / 2 + c * (sum of log losses) over the blocks to fit on, the bias free; `size` is the number of terms.
 
     L-BFGS over weights scaled by the curvature of each. The objective's curvature is 1 at least, so a gradient of length `slope`
-    leaves weights that lie no farther than that from the minimum, and scores that are off by a fourth of it.
+    leaves weights that lie no farther than that from the minimum for the same bias; the bias, which is free, has no such bound.
     """
     sc = blocks.sparkSession.sparkContext
     fit = blocks.filter("fit").select("y", "ends", "at", "w")
